@@ -70,12 +70,16 @@ class OrphanTracker:
         reopened = [t.filter("gone is null").drop("gone").join(gone, "key").withColumnRenamed("now_gone", "gone") for t in self.settled]
         here = broadcast_if_small(index.filter("is_new").select("key", F.col("seen").alias("now_seen"), F.col("gone").alias("now_gone")))
         resolved = [t.filter("seen is null").drop("seen", "gone").join(here, "key").withColumnsRenamed({"now_seen": "seen", "now_gone": "gone"}) for t in self.waiting]
+        # references that waited, whose parent came in an earlier step and is deleted now
+        late = broadcast_if_small(index.filter("is_gone and not is_new").select("key", F.col("gone").alias("now_gone")))
+        lost = [t.filter("gone is null").drop("gone").join(late, "key").withColumnRenamed("now_gone", "gone") for t in self.waiting]
         opened = lambda t, at: t.select("ref_table", F.date_trunc("month", at).alias("month"), F.lit(1).alias("change"))
         closed = lambda t, at: t.select("ref_table", F.date_trunc("month", at).alias("month"), F.lit(-1).alias("change"))
         changes = [opened(orphans, F.col("arrived")), closed(orphans.filter("seen > arrived"), F.col("seen")), opened(orphans.filter("seen > arrived and gone is not null"), F.col("gone")), opened(settled.filter("gone is not null"), F.col("gone"))]
         hindsight = [t.filter("gone <= arrived") for t in reopened]
         for t in reopened:
             changes.append(opened(t, F.greatest("gone", "arrived")))
+        changes += [opened(t, F.col("gone")) for t in lost]
         for t in resolved:
             changes += [closed(t, F.col("seen")), opened(t.filter("gone is not null"), F.col("gone"))]
         self.moves.append(s.write(reduce(DataFrame.unionByName, changes).groupBy("ref_table", "month").agg(F.sum("change").alias("change")), "moves"))
