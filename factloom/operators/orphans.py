@@ -66,12 +66,12 @@ class OrphanTracker:
         new = s.write(probed.withColumn("live", live), "references")
         settled, orphans = new.filter("live"), new.filter("not live")
         # references that settled earlier and whose parent turns out to be deleted
-        gone = broadcast_if_small(index.filter("is_gone").select("key", F.col("gone").alias("now_gone")))
+        gone = broadcast_if_small(index.filter("is_gone").select("key", F.col("gone").alias("now_gone"))) if self.settled else None
         reopened = [t.filter("gone is null").drop("gone").join(gone, "key").withColumnRenamed("now_gone", "gone") for t in self.settled]
-        here = broadcast_if_small(index.filter("is_new").select("key", F.col("seen").alias("now_seen"), F.col("gone").alias("now_gone")))
+        here = broadcast_if_small(index.filter("is_new").select("key", F.col("seen").alias("now_seen"), F.col("gone").alias("now_gone"))) if self.waiting else None
         resolved = [t.filter("seen is null").drop("seen", "gone").join(here, "key").withColumnsRenamed({"now_seen": "seen", "now_gone": "gone"}) for t in self.waiting]
         # references that waited, whose parent came in an earlier step and is deleted now
-        late = broadcast_if_small(index.filter("is_gone and not is_new").select("key", F.col("gone").alias("now_gone")))
+        late = broadcast_if_small(index.filter("is_gone and not is_new").select("key", F.col("gone").alias("now_gone"))) if self.waiting else None
         lost = [t.filter("gone is null").drop("gone").join(late, "key").withColumnRenamed("now_gone", "gone") for t in self.waiting]
         opened = lambda t, at: t.select("ref_table", F.date_trunc("month", at).alias("month"), F.lit(1).alias("change"))
         closed = lambda t, at: t.select("ref_table", F.date_trunc("month", at).alias("month"), F.lit(-1).alias("change"))
