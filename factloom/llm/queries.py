@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from factloom.llm.copies import Copies
 from factloom.llm.encode import encode
 from factloom.llm.leaks import leaks
 from factloom.llm.split import split
+from factloom.llm.survivor import MISSING, best_values, survivors
 from factloom.sources.tables import table
 
 
@@ -16,6 +18,10 @@ def _leaks(spark, d):
 
 def queries() -> dict:
     return {
+        "p5_found": lambda spark, d: best_values(table(spark, d, "entity_inputs"), table(spark, d, "merges")).select("surviving_id", "prop_name", "prop_value"),
+        "p5_records": lambda spark, d: survivors(table(spark, d, "entity_inputs"), table(spark, d, "merges")).select("surviving_id", "n_props", "last_at"),
+        "p6_found": lambda spark, d: Copies(table(spark, d, "bulk_inputs")).pairs(),
+        "p6_records": lambda spark, d: Copies(table(spark, d, "bulk_inputs")).records().select("record_id", "name", "n_copies"),
         "p7_ids": lambda spark, d: encode(table(spark, d, "documents")),
         "p8_found": lambda spark, d: _leaks(spark, d).select("doc_id", "item_id"),
         "p8_items": lambda spark, d: _leaks(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.max("n_words").alias("longest")),
@@ -30,5 +36,28 @@ g AS (SELECT DISTINCT k, id, array_to_string(list_slice(ws, pos, pos + 11), ' ')
 found AS (SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM g d JOIN g i ON d.gram = i.gram WHERE d.k = 'd' AND i.k = 'i')"""
 
 
+_MISSING = ", ".join("'" + m + "'" for m in MISSING)
+
+_BEST = f"""m AS (SELECT DISTINCT surviving_id AS s, merged_id AS m FROM merges),
+up AS (SELECT m AS v, s AS root FROM m UNION ALL SELECT up.v, m.s FROM up JOIN m ON m.m = up.root),
+r AS (SELECT v, root FROM up WHERE root NOT IN (SELECT m FROM m) UNION SELECT s, s FROM m WHERE s NOT IN (SELECT m FROM m)),
+i AS (SELECT DISTINCT root, input_id, received_at, properties FROM entity_inputs JOIN r ON entity_id = v WHERE properties IS NOT NULL),
+e AS (SELECT root, input_id, received_at, properties, unnest(json_keys(properties)) AS k FROM i),
+x AS (SELECT root, input_id, received_at, k, json_extract_string(properties, '$."' || k || '"') AS val FROM e),
+best AS (SELECT root, k, arg_max(val, (received_at, -input_id)) AS val, max(received_at) AS at_ FROM x WHERE val IS NOT NULL AND lower(trim(val)) NOT IN ({_MISSING}) GROUP BY ALL)"""
+
+_FORM = """k AS (SELECT record_id, unnest(json_keys(properties)) AS key, properties FROM bulk_inputs),
+p AS (SELECT record_id, string_agg(regexp_replace(lower(key), '[^\\p{L}\\p{N}]', '', 'g') || '=' || regexp_replace(lower(json_extract_string(properties, '$."' || key || '"')), '[^\\p{L}\\p{N}]', '', 'g'), ',' ORDER BY key) AS props FROM k GROUP BY 1),
+f AS (SELECT record_id, b.name AS raw, graph_name, confidence, regexp_replace(lower(b.name), '[^\\p{L}\\p{N}]', '', 'g') AS name, regexp_replace(lower(entity_type), '[^\\p{L}\\p{N}]', '', 'g') AS kind, coalesce(props, CASE WHEN properties IS NULL THEN NULL ELSE '' END) AS props
+  FROM bulk_inputs b LEFT JOIN p USING (record_id)),
+g AS (SELECT record_id, raw, min(record_id) OVER w AS first_id, count(*) OVER w AS n FROM f WINDOW w AS (PARTITION BY graph_name, confidence, name, kind, props))"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p8_found": f"WITH {_GRAMS} SELECT doc_id, item_id FROM found"}
+    return {
+        "p5_found": f"WITH RECURSIVE {_BEST} SELECT root AS surviving_id, k AS prop_name, val AS prop_value FROM best",
+        "p5_records": f"WITH RECURSIVE {_BEST} SELECT root AS surviving_id, count(*) AS n_props, max(at_) AS last_at FROM best GROUP BY 1",
+        "p6_found": f"WITH {_FORM} SELECT first_id, record_id AS copy_id FROM g WHERE record_id != first_id",
+        "p6_records": f"WITH {_FORM} SELECT record_id, raw AS name, n AS n_copies FROM g WHERE record_id = first_id",
+        "p8_found": f"WITH {_GRAMS} SELECT doc_id, item_id FROM found",
+    }
