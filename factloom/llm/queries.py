@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from factloom.llm.copies import Copies
 from factloom.llm.encode import encode
 from factloom.llm.leaks import leaks
+from factloom.llm.names import link, resolve, typed_names
 from factloom.llm.split import split
 from factloom.llm.survivor import MISSING, best_values, survivors
 from factloom.sources.tables import table
@@ -16,8 +17,14 @@ def _leaks(spark, d):
     return leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def _resolved(spark, d):
+    return resolve(typed_names(table(spark, d, "entity_inputs"), table(spark, d, "relationship_inputs")), table(spark, d, "nicknames"))
+
+
 def queries() -> dict:
     return {
+        "p4_found": lambda spark, d: link(_resolved(spark, d)),
+        "p4_entities": lambda spark, d: _resolved(spark, d).groupBy("graph_name", "entity").agg(F.count(F.lit(1)).alias("n_spellings"), F.min("name").alias("name")),
         "p5_found": lambda spark, d: best_values(table(spark, d, "entity_inputs"), table(spark, d, "merges")).select("surviving_id", "prop_name", "prop_value"),
         "p5_records": lambda spark, d: survivors(table(spark, d, "entity_inputs"), table(spark, d, "merges")).select("surviving_id", "n_props", "last_at"),
         "p6_found": lambda spark, d: Copies(table(spark, d, "bulk_inputs")).pairs(),
