@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from factloom.functions.bags import merged, without
 from factloom.ids import strip
 from factloom.model import FACT_NAME_LENGTH, RESERVED_EDGE_KEYS, is_property_key, is_uuid, live
+from factloom.operators.contain import containment
 from factloom.runtime import Scratch, broadcast_if_small
 from factloom.sources.graph import Graph
 
@@ -190,9 +191,12 @@ def resolve_references(refs: DataFrame, batch: DataFrame, vertices: DataFrame) -
     met = known.join(by_id, "key", "left").join(by_name, "key", "left").join(by_type, ["key", "hint"], "left")
     strict = F.coalesce("found", F.when(is_uuid(F.col("key")), F.col("by_id")).otherwise(F.coalesce(F.when(F.col("n_exact") == 1, F.col("exact_id")), F.when(F.col("n_exact") > 1, F.col("hinted_id")))))
     met = met.withColumn("strict", strict)
-    # only names without any full match are compared by containment, as a stated set against all rows
+    # only names without any full match are compared by containment
     weak = met.filter(F.col("strict").isNull() & F.col("n_exact").isNull() & ~is_uuid(F.col("key")) & (F.col("key") != "")).select("key").distinct()
-    near = alive.join(F.broadcast(weak) if weak.limit(1001).count() <= 1000 else weak, F.lower("name").contains(F.col("key")) | F.col("key").contains(F.lower("name"))).groupBy("key").agg(F.count(F.lit(1)).alias("n_near"), F.min("id").alias("near_id"))
+    stored = names.groupBy(F.col("key").alias("name")).agg(F.sum("k").alias("k"), F.min("id").alias("id"))
+    inside, around = containment(weak, stored.select("name")), containment(stored.select("name"), weak)
+    pairs = inside.select(F.col("needle").alias("key"), F.col("hay").alias("name")).unionByName(around.select(F.col("hay").alias("key"), F.col("needle").alias("name"))).distinct()
+    near = pairs.join(stored, "name").groupBy("key").agg(F.sum("k").alias("n_near"), F.min("id").alias("near_id"))
     full = met.join(near, "key", "left")
     id_ = F.coalesce("strict", F.when(F.col("n_near") == 1, F.col("near_id")))
     many = (F.coalesce("n_exact", F.lit(0)) > 1) | (F.coalesce("n_near", F.lit(0)) > 1)
