@@ -9,6 +9,9 @@
 
 from __future__ import annotations
 
+import os
+from functools import reduce
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -113,19 +116,28 @@ def _count(batches):
         yield out(trie)
 
 
+def _reach(batches):
+    """(bucket, reach): bytes that the forms of an oversized bucket share, as the smallest and the largest share them, and STEP more."""
+    for b in batches:
+        reach = [len(os.path.commonprefix([lo, hi])) + STEP for lo, hi in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(reach, pa.int32())], ["bucket", "reach"])
+
+
 def buckets(leaders: DataFrame, scratch: Scratch) -> DataFrame:
-    """`leaders` with `bucket`, a prefix of `form`: the shortest that at most BUCKET leaders share, by STEP bytes, or all of the form."""
-    rows, depth, over = leaders.withColumn("bucket", F.substring("form", 1, STEP)), STEP, None
+    """`leaders` with `bucket`, a prefix of `form` that at most BUCKET leaders share, or all of the form.
+
+    Bytes that a whole bucket shares are skipped, so every round splits each bucket it touches; only those are written again.
+    """
+    active, parts = leaders.withColumn("bucket", F.substring("form", 1, STEP)), []
     while True:
-        full = F.length("form") > depth
-        # only what was split in the last round is counted again
-        last = rows if over is None else rows.filter(F.length("bucket") > depth - STEP)
-        sizes = last.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.max(full).alias("goes_on"))
-        over = scratch.write(sizes.filter((F.col("size") > BUCKET) & F.col("goes_on")).select("bucket", F.lit(True).alias("over")), "oversized")
+        sizes = active.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("form").alias("lo"), F.max("form").alias("hi"))
+        over = scratch.write(sizes.filter((F.col("size") > BUCKET) & (F.col("lo") != F.col("hi"))).select("bucket", "lo", "hi").mapInArrow(_reach, "bucket binary, reach int"), "oversized")
         if over.isEmpty():
-            return rows
-        rows = rows.join(broadcast_if_small(over), "bucket", "left").withColumn("bucket", F.when(F.coalesce("over", F.lit(False)), F.substring("form", 1, depth + STEP)).otherwise(F.col("bucket"))).drop("over")
-        depth += STEP
+            return reduce(DataFrame.unionByName, [*parts, active])
+        o = broadcast_if_small(over)
+        parts.append(active.join(o, "bucket", "left_anti"))
+        split = active.join(o, "bucket").withColumn("bucket", F.substr("form", F.lit(1), F.col("reach"))).drop("reach")
+        active = scratch.write(split.select(*leaders.columns, "bucket"), "split")
 
 
 class Copies:
@@ -155,5 +167,6 @@ class Copies:
 
     def records(self) -> DataFrame:
         """The first record of each group as it was written, with n_copies, the number of records in the group."""
-        one = self.firsts.groupBy("first").agg(F.max("n").alias("n_copies"))
-        return self.df.join(one, self.df[self.key].cast("long") == one["first"]).drop("first")
+        one = self.firsts.groupBy("first").agg(F.max("n").alias("n"))
+        own = self.df.select(self.df[self.key].cast("long").alias("first"), F.struct("*").alias("record"))
+        return own.join(one, "first").select("record.*", F.col("n").alias("n_copies"))

@@ -49,6 +49,9 @@ GRAM, PREFIX = 3, 5
 #: The table of nicknames is a parameter that every task holds.
 NICKNAMES_MOST = 50_000
 
+#: Longer spellings are taken word by word as they are written.
+MOST_WORDS = 6
+
 _parts = regex.compile(r"[\p{L}\p{N}]+").findall
 _camel = regex.compile(r"(?<=\p{Ll})(?=\p{Lu})")
 
@@ -118,10 +121,10 @@ class Forms:
         words, letters = self.core(toks, person)
         distinct = list(dict(words).items())
         if len(distinct) > 1:
-            ways = [self.written_out(t, person, business) for t, _ in distinct]
+            ways = [self.written_out(t, person, business) if len(distinct) <= MOST_WORDS else [(t, 1.0)] for t, _ in distinct]
             total = sum(w for _, w in distinct) or 1.0
             out = []
-            for way in itertools.islice(itertools.product(*ways), 64):
+            for way in itertools.product(*ways):
                 sim = sum(w * s for (_, w), (_, s) in zip(distinct, way)) / total
                 out.append(("full", " ".join(sorted({t for t, _ in way})), sim))
             if person and len(distinct) == 2:  # a nickname that no table has: a part of a given name

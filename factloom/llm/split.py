@@ -21,7 +21,7 @@ LIMIT = 1024
 OVERLAP = 64
 #: A target moves by at most this share of a piece.
 REACH = 0.15
-#: A word of more tokens than this may be cut inside, between slices of SLICE characters.
+#: A word of more tokens than this (or an eighth of the limit) may be cut inside, between slices of SLICE characters (or a 32nd).
 LONG_WORD = 64
 SLICE = 32
 
@@ -57,17 +57,33 @@ def boundary(text: str, at: int) -> int:
     return 4 if gap else 5
 
 
-def _units(words: list[str], n: np.ndarray, model: bpe.Bpe) -> tuple[np.ndarray, np.ndarray]:
+def _joined(w: str, c: int) -> bool:
+    """Whether a cut before w[c] would tear a character apart."""
+    return bool(unicodedata.combining(w[c])) or w[c] in "\u200d\ufe0f" or w[c - 1] == "\u200d"
+
+
+def _slices(w: str, size: int) -> list[int]:
+    """Where to cut a long word: every `size` characters, a little later where a character would be torn apart."""
+    cuts, at = [], size
+    while at < len(w):
+        near = next((c for c in range(at, min(at + size, len(w))) if not _joined(w, c)), at)
+        cuts.append(near)
+        at = near + size
+    return cuts
+
+
+def _units(words: list[str], n: np.ndarray, model: bpe.Bpe, limit: int) -> tuple[np.ndarray, np.ndarray]:
     """Ends in characters and token counts of what may be cut apart: words, and slices of long words."""
-    if not (n > LONG_WORD).any():
+    most = min(LONG_WORD, limit // 8)
+    if not (n > most).any():
         return np.cumsum([len(w) for w in words]), n
     ends, counts, at = [], [], 0
     for w, k in zip(words, n):
-        if k <= LONG_WORD:
+        if k <= most:
             ends.append(at + len(w))
             counts.append(k)
         else:
-            cuts = [c for c in range(SLICE, len(w), SLICE) if not (unicodedata.combining(w[c]) or w[c] in "‍️" or w[c - 1] == "‍")]
+            cuts = _slices(w, max(1, min(SLICE, limit // 32)))
             parts = [w[a:b] for a, b in zip([0, *cuts], [*cuts, len(w)])]
             ends += [at + c for c in (*cuts, len(w))]
             counts += model.counts(parts).tolist()
@@ -77,7 +93,7 @@ def _units(words: list[str], n: np.ndarray, model: bpe.Bpe) -> tuple[np.ndarray,
 
 def pieces(text: str, words: list[str], n: np.ndarray, model: bpe.Bpe, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int, int, str]]:
     """(start, end, tokens, tokens shared with the piece before, kind of the boundary at the end) of each piece, in characters."""
-    ends, counts = _units(words, n, model)
+    ends, counts = _units(words, n, model, limit)
     total = np.cumsum(counts)
     size, m = int(total[-1]), len(ends)
     before = lambda u: int(total[u - 1]) if u else 0
@@ -106,6 +122,10 @@ def pieces(text: str, words: list[str], n: np.ndarray, model: bpe.Bpe, limit: in
             if u and before(u) < before(c) - overlap:
                 u += 1
             starts.append(min(max(u, former + 1), c))
+        # what slices of words share is encoded anew, so it may come out longer than their sum
+        for k, c in enumerate(cuts, 1):
+            while starts[k] < c and model.counts([text[where(starts[k]) : where(c)]])[0] > overlap:
+                starts[k] += 1
         spans = [(where(a), where(b)) for a, b in zip(starts, [*cuts, m])]
         tokens = model.counts([text[a:b] for a, b in spans])
         if (tokens <= limit).all() or count > m:
