@@ -7,6 +7,7 @@ lowest rank and merges all its occurrences in that word, left to right; words wi
 
 from __future__ import annotations
 
+import heapq
 import json
 from functools import lru_cache
 
@@ -22,6 +23,9 @@ KNOWN_WORDS = 300_000
 #: Only shorter words are kept.
 KNOWN_LENGTH = 64
 
+#: Longer words (in bytes) are merged one pair at a time from a heap: their rounds would take the square of their length.
+HEAP_BYTES = 4096
+
 NEVER = np.int64(1) << 40
 
 
@@ -57,6 +61,7 @@ class Bpe:
         # of a pair listed twice the first counts
         self.keys, where = np.unique(keys[order], return_index=True)
         self.rank, self.made = order[where].astype(np.int64), made[order][where]
+        self.pairs: dict[int, tuple[int, int]] | None = None
         self.find = regex.compile(PATTERN).findall
         self._forget()
 
@@ -66,9 +71,46 @@ class Bpe:
         self.starts = np.zeros(0, np.int64)
         self.lengths = np.zeros(0, np.int64)
 
+    def _merge_one(self, coded: bytes) -> list[int]:
+        """Token ids of one long word: neighbouring pairs by rank, then from the left."""
+        sym = self.first[np.frombuffer(coded, np.uint8)]
+        if self.pairs is None:
+            self.pairs = dict(zip(self.keys.tolist(), zip(self.rank.tolist(), self.made.tolist())))
+        pairs, size, n = self.pairs, self.size, len(sym)
+        s: list = sym.tolist()
+        after, before = [*range(1, n), -1], [-1, *range(n - 1)]
+        heap = [(p[0], k, s[k], s[k + 1]) for k in range(n - 1) if (p := pairs.get(s[k] * size + s[k + 1]))]
+        heapq.heapify(heap)
+        while heap:
+            _, k, a, b = heapq.heappop(heap)
+            j = after[k]
+            if s[k] != a or j < 0 or s[j] != b:  # one of the two has been merged since
+                continue
+            s[k], s[j] = pairs[a * size + b][1], None
+            after[k] = i = after[j]
+            if i >= 0:
+                before[i] = k
+                if p := pairs.get(s[k] * size + s[i]):
+                    heapq.heappush(heap, (p[0], k, s[k], s[i]))
+            if (h := before[k]) >= 0 and (p := pairs.get(s[h] * size + s[k])):
+                heapq.heappush(heap, (p[0], h, s[h], s[k]))
+        return [x for x in s if x is not None]
+
     def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all words in one array, and each word's number of them."""
         coded = [w.encode("utf-8", "surrogatepass") for w in words]
+        long = [k for k, c in enumerate(coded) if len(c) > HEAP_BYTES]
+        if not long:
+            return self._rounds(coded)
+        alone = {k: self._merge_one(coded[k]) for k in long}
+        ids, n = self._rounds([b"" if k in alone else c for k, c in enumerate(coded)])
+        parts = np.split(ids, np.cumsum(n)[:-1])
+        for k, own in alone.items():
+            parts[k], n[k] = np.array(own, np.int32), len(own)
+        return np.concatenate(parts).astype(np.int32), n
+
+    def _rounds(self, coded: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All words at once, a round merging the lowest pair of each."""
         n = len(coded)
         counts = np.fromiter(map(len, coded), np.int64, n)
         sym = self.first[np.frombuffer(b"".join(coded), np.uint8)]

@@ -38,6 +38,14 @@ def test_any_texts(texts):
     assert MODEL.ids(texts).to_pylist() == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+def test_long_words_take_the_heap(reference, monkeypatch):
+    r = random.Random(9)
+    texts = ["".join(r.choice("etaoinshrdlu") for _ in range(n)) for n in (10, 300, 5000, 30000)] + ["a" * 9000, "中" * 4000 + " x " + "é" * 5000]
+    assert MODEL.ids(texts).to_pylist() == [reference(t) for t in texts]
+    monkeypatch.setattr(bpe, "HEAP_BYTES", 0)
+    assert bpe.Bpe(bpe.default_path()).ids(["", "Hello  world's 12", *texts[:2]]).to_pylist() == [reference(t) for t in ("", "Hello  world's 12", *texts[:2])]
+
+
 def test_memory_of_words_is_bounded(reference, monkeypatch):
     monkeypatch.setattr(bpe, "KNOWN_WORDS", 20)
     m = bpe.Bpe(bpe.default_path())
