@@ -127,6 +127,10 @@ class Forms:
             for way in itertools.product(*ways):
                 sim = sum(w * s for (_, w), (_, s) in zip(distinct, way)) / total
                 out.append(("full", " ".join(sorted({t for t, _ in way})), sim))
+            kept = [r for r in raw if r not in self.optional and len(r) > 1]
+            out += [("r", "".join(w), TOGETHER) for w in ((kept, kept[::-1]) if len(kept) == 2 else (kept,)) if w]
+            if len(distinct) == 2:
+                out += [("f", f"{a} {''.join(sorted(b))} {b}", ABBREVIATION) for a, b in itertools.permutations([t for t, _ in distinct]) if 2 <= len(b) <= 3]
             if person and len(distinct) == 2:  # a nickname that no table has: a part of a given name
                 (a, wa), (b, wb) = distinct
                 out += [("p", f"{last} {t}", NICK) for t, last in ((a, b), (b, a)) if 3 <= len(t) <= 5 and t not in self.names]
@@ -138,7 +142,8 @@ class Forms:
             return [("i", f"{t} {c}", INITIAL) for c in dict.fromkeys(letters)] + ([("s", t, 0.0)] if len(letters) > 1 else [])
         kept = [r for r in raw if r not in self.optional]
         whole = "".join(kept or raw)
-        return [("c", whole, TOGETHER), ("s", t, 0.0)] + ([("a", "".join(sorted(whole)), ACRONYM)] if 3 <= len(whole) <= 5 else [])
+        short = [("f", f"{t} {''.join(sorted(r))} {r}", ABBREVIATION) for r in raw if r in LEGAL and 2 <= len(r) <= 3]
+        return [*short, ("c", whole, TOGETHER), ("s", t, 0.0)] + ([("a", "".join(sorted(whole)), ACRONYM)] if 3 <= len(whole) <= 5 else [])
 
     def entity_keys(self, key: str, weights: dict[str, float]):
         """(channel, key, sim) by which an entity of whole tokens can be looked up."""
@@ -152,7 +157,10 @@ class Forms:
                 share = weights[last] / total
                 short = share + INITIAL * (1 - share)
                 out += [("i", f"{last} {rest[0]}", short), ("c", rest[0] + last, short), ("c", last + rest[0], short), ("c", rest + last, TOGETHER), ("p", last, share + NICK * (1 - share))]
-        elif len(toks) <= 5:
+        else:
+            share = weights[rare] / total
+            out.append(("f", f"{rare} {''.join(sorted(t[0] for t in toks if t != rare))}", share + ABBREVIATION * (1 - share)))
+        if 2 < len(toks) <= 5:
             out += [("c", "".join(p), TOGETHER) for p in itertools.permutations(toks)]
             if any(t in BUSINESS for t in toks):
                 out.append(("a", "".join(sorted(t[0] for t in toks)), ACRONYM))
@@ -191,13 +199,19 @@ def token_slips(words: DataFrame, known: list[str], scratch: Scratch) -> DataFra
     prefix = scratch.write(ranked.join(long, ["graph_name", "token"]).select("graph_name", "token", "n", "graphs", F.inline("prefix")).drop("df"), "prefixes")
     slips = prefix.filter(~F.col("token").isin(known)).select("graph_name", "gram", F.col("token").alias("a"), F.col("n").alias("an"), F.col("graphs").alias("ag"), F.explode(F.array(F.col("pos") - 1, F.col("pos"), F.col("pos") + 1)).alias("pos"))
     meant = prefix.filter(F.length("token") >= 4).select("graph_name", "gram", "pos", F.col("token").alias("b"), F.col("n").alias("bn"), F.col("graphs").alias("bg"))
-    better = F.struct("bg", "bn", "b") > F.struct("ag", "an", "a")
+    near = slips.join(meant, ["graph_name", "gram", "pos"]).filter((F.abs(F.length("a") - F.length("b")) <= 1) & (F.col("a") != F.col("b"))).select("graph_name", "a", "an", "ag", "b", "bn", "bg").distinct()
+    near = scratch.write(near.filter(_slip(F.col("a"), F.col("b"))), "near")
+    # slips of one word resemble that word more often than each other, so the word with most neighbours is the one that is meant
+    ends = F.array(F.struct(F.col("a").alias("token"), F.col("b").alias("other")), F.struct(F.col("b").alias("token"), F.col("a").alias("other")))
+    degree = near.select("graph_name", F.inline(ends)).distinct().groupBy("graph_name", "token").agg(F.count(F.lit(1)).alias("degree"))
+    both = near.join(degree.withColumnsRenamed({"token": "a", "degree": "ad"}), ["graph_name", "a"]).join(degree.withColumnsRenamed({"token": "b", "degree": "bd"}), ["graph_name", "b"])
+    better = F.struct("bg", "bd", "bn", "b") > F.struct("ag", "ad", "an", "a")
     rare = F.col("ag") <= F.greatest(F.lit(1.0), F.lit(SLIP_SHARE) * F.col("bg"))
-    near = slips.join(meant, ["graph_name", "gram", "pos"]).filter((F.abs(F.length("a") - F.length("b")) <= 1) & better & rare).select("graph_name", "a", "b", "bg", "bn").distinct()
-    one = near.filter(_slip(F.col("a"), F.col("b"))).groupBy("graph_name", "a").agg(F.max(F.struct("bg", "bn", "b")).alias("m")).select("graph_name", "a", F.col("m.b").alias("b"))
-    one = scratch.write(one, "slips")
-    on = one.select("graph_name", F.col("a").alias("b"), F.col("b").alias("c"))
-    return one.join(on, ["graph_name", "b"], "left").select("graph_name", F.col("a").alias("token"), F.coalesce("c", "b").alias("meant"))
+    to = both.filter(better & rare).groupBy("graph_name", "a").agg(F.max(F.struct("bg", "bd", "bn", "b")).alias("m")).select("graph_name", "a", F.col("m.b").alias("b"))
+    for k in range(2):  # four steps of slips of slips
+        to = scratch.write(to, f"slips{k}")
+        to = to.join(to.select("graph_name", F.col("a").alias("b"), F.col("b").alias("c")), ["graph_name", "b"], "left").select("graph_name", "a", F.coalesce("c", "b").alias("b"))
+    return to.withColumnsRenamed({"a": "token", "b": "meant"})
 
 
 def resolve(names: DataFrame, nicknames: DataFrame) -> DataFrame:
@@ -266,11 +280,15 @@ def resolve(names: DataFrame, nicknames: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.float64()])], ["graph_name", "entity", "support", "channel", "look", "similarity"])
 
     index = parts.mapInArrow(lookups, "graph_name string, entity string, support long, channel string, look string, similarity double")
-    # whole names of which a token may be a nickname that no table has
+    # spellings as they are typed, written together, stand for the entity of the spelling
+    typed = made.filter("channel = 'r'").select("sid", "graph_name", F.col("key").alias("look")).join(chosen.select("sid", F.col("entity")), "sid").join(alive.select("graph_name", F.col("key").alias("entity"), F.coalesce("support", F.lit(0)).alias("support")), ["graph_name", "entity"])
+    index = index.unionByName(typed.select("graph_name", "entity", "support", F.lit("c").alias("channel"), "look", F.lit(TOGETHER).alias("similarity")).distinct())
+    # whole names of which a token may be a nickname that no table has, or the initials of further words
     words = F.split("key", " ")
     begun = made.filter("channel = 'p'").select("sid", "graph_name", "channel", words[0].alias("look"), words[1].alias("begins"), "key").join(chosen.filter("as_is").select("sid", F.col("entity").alias("own")), "sid")
-    partial = made.filter("channel not in ('full', 'p')").select("sid", "graph_name", "channel", F.col("key").alias("look"), F.lit(None).cast("string").alias("begins"), "key", F.lit(None).cast("string").alias("own"))
-    asks = partial.unionByName(begun.select(*partial.columns))
+    short = made.filter("channel = 'f'").select("sid", "graph_name", "channel", F.concat_ws(" ", words[0], words[1]).alias("look"), F.lit(None).cast("string").alias("begins"), "key", F.lit(None).cast("string").alias("own"))
+    partial = made.filter("channel not in ('full', 'p', 'f', 'r')").select("sid", "graph_name", "channel", F.col("key").alias("look"), F.lit(None).cast("string").alias("begins"), "key", F.lit(None).cast("string").alias("own"))
+    asks = partial.unionByName(short).unionByName(begun.select(*partial.columns))
     met = asks.join(index, ["graph_name", "channel", "look"]).filter((F.col("similarity") >= LEAST) & (F.col("begins").isNull() | ((F.col("own") != F.col("entity")) & F.exists(F.split("entity", " "), lambda t: t.contains(F.col("begins")) & (F.length(t) > F.length("begins") + 1) & (t != F.col("look"))))))
     best = met.groupBy("sid", "entity").agg(F.max(F.struct("similarity", "support")).alias("b"))
     ranked = best.groupBy("sid").agg(F.slice(F.sort_array(F.collect_list(F.struct("b", "entity")), asc=False), 1, 2).alias("r"))  # candidates share a rare token of a graph
