@@ -42,9 +42,11 @@ BUSINESS = (
 #: How much an inexact match counts.
 NICK, ABBREVIATION, INITIAL, TOGETHER, ACRONYM = 0.9, 0.9, 0.6, 0.95, 0.8
 #: A candidate needs this similarity; against an equally good one it needs so many times its support.
-LEAST, CLEARLY = 0.35, 3.0
+LEAST, CLEARLY = 0.25, 3.0
 #: A word in more than one graph is a slip of a similar one only if it occurs in at most this share of that one's graphs.
 SLIP_SHARE = 0.15
+#: The same for slips of known words.
+KNOWN_SHARE = 0.5
 GRAM, PREFIX = 3, 5
 #: The table of nicknames is a parameter that every task holds.
 NICKNAMES_MOST = 50_000
@@ -149,8 +151,8 @@ class Forms:
         """(channel, key, sim) by which an entity of whole tokens can be looked up."""
         toks = key.split(" ")
         total = sum(weights.values()) or 1.0
-        # a known given name does not tell people apart, however rare it is here
-        rare = max(toks, key=lambda t: (t not in self.names, weights[t], t))
+        # known given names and business words do not tell entities apart, however rare they are here
+        rare = max(toks, key=lambda t: (t not in self.names and t not in BUSINESS, weights[t], t))
         out = [("s", rare, weights[rare] / total)]
         if len(toks) == 2:
             for rest, last in (toks, toks[::-1]):
@@ -205,9 +207,10 @@ def token_slips(words: DataFrame, known: list[str], scratch: Scratch) -> DataFra
     ends = F.array(F.struct(F.col("a").alias("token"), F.col("b").alias("other")), F.struct(F.col("b").alias("token"), F.col("a").alias("other")))
     degree = near.select("graph_name", F.inline(ends)).distinct().groupBy("graph_name", "token").agg(F.count(F.lit(1)).alias("degree"))
     both = near.join(degree.withColumnsRenamed({"token": "a", "degree": "ad"}), ["graph_name", "a"]).join(degree.withColumnsRenamed({"token": "b", "degree": "bd"}), ["graph_name", "b"])
-    better = F.struct("bg", "bd", "bn", "b") > F.struct("ag", "ad", "an", "a")
-    rare = F.col("ag") <= F.greatest(F.lit(1.0), F.lit(SLIP_SHARE) * F.col("bg"))
-    to = both.filter(better & rare).groupBy("graph_name", "a").agg(F.max(F.struct("bg", "bd", "bn", "b")).alias("m")).select("graph_name", "a", F.col("m.b").alias("b"))
+    both = both.withColumn("bk", F.col("b").isin(known))
+    better = F.col("bk") | (F.struct("bg", "bd", "bn", "b") > F.struct("ag", "ad", "an", "a"))
+    rare = F.col("ag") <= F.greatest(F.lit(1.0), F.when(F.col("bk"), KNOWN_SHARE).otherwise(SLIP_SHARE) * F.col("bg"))
+    to = both.filter(better & rare).groupBy("graph_name", "a").agg(F.max(F.struct("bk", "bg", "bd", "bn", "b")).alias("m")).select("graph_name", "a", F.col("m.b").alias("b"))
     for k in range(2):  # four steps of slips of slips
         to = scratch.write(to, f"slips{k}")
         to = to.join(to.select("graph_name", F.col("a").alias("b"), F.col("b").alias("c")), ["graph_name", "b"], "left").select("graph_name", "a", F.coalesce("c", "b").alias("b"))
@@ -263,8 +266,11 @@ def resolve(names: DataFrame, nicknames: DataFrame) -> DataFrame:
         F.max(F.when(F.col("sim") > 0.999, F.col("key"))).alias("plain"), F.count(F.lit(1)).alias("ways"), F.max(F.when(F.col("sim") < 0.999, F.col("key"))).alias("other"),
     )
     # a form written out that others write in full counts first; a single way of writing out is taken even if nobody does
-    chosen = choice.select("sid", "graph_name", F.when(F.col("best.col1"), F.col("best.key")).when(F.col("ways") == 2, F.col("other")).otherwise(F.coalesce("plain", "best.key")).alias("entity"), (~F.col("best.col1") & (F.col("ways") != 2)).alias("as_is"))
+    chosen = choice.select("sid", "graph_name", "plain", F.when(F.col("best.col1"), F.col("best.key")).when(F.col("ways") == 2, F.col("other")).otherwise(F.coalesce("plain", "best.key")).alias("entity"), (~F.col("best.col1") & (F.col("ways") != 2)).alias("as_is"))
     chosen = s.write(chosen, "chosen")
+    # where a form that was chosen is itself written out further by those who write it, the further form counts
+    on = chosen.filter("plain != entity").groupBy("graph_name", F.col("plain").alias("entity")).agg(F.max("entity").alias("further"))
+    chosen = s.write(chosen.join(on, ["graph_name", "entity"], "left").select("sid", "graph_name", F.coalesce("further", "entity").alias("entity"), "as_is"), "chosen")
     alive = chosen.groupBy("graph_name", F.col("entity").alias("key")).agg(F.count(F.lit(1)).alias("n_spellings")).join(entities, ["graph_name", "key"], "left")
     parts = alive.select("graph_name", "key", F.coalesce("support", F.lit(0)).alias("support"), F.posexplode(F.split("key", " ")).alias("k", "token")).join(corpus.select("token", "df"), "token", "left")
     parts = parts.groupBy("graph_name", "key", "support").agg(F.collect_list(F.struct("token", weigh.alias("w"))).alias("t"))
