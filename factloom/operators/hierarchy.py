@@ -134,7 +134,7 @@ def rank_tours(edges: DataFrame, scratch: Scratch, ends: bool = False) -> DataFr
     """(id, pos, dep, tour, open) of each tour element: sums of weights before it, its list, and whether the list has a start."""
     edges = scratch.write(edges, "links")
     seen = Observation()
-    table = scratch.write(_elements(edges, edges.count(), ends).observe(seen, F.count(F.lit(1)).alias("n")), "elements")
+    table = scratch.write(_elements(edges, edges.scratch_rows, ends).observe(seen, F.count(F.lit(1)).alias("n")), "elements")
     left, rounds, active = seen.get["n"], [], table
     done = (F.col("head") & F.col("next").isNull()) | (F.col("next") == F.col("id"))
     while left > LOCAL_ELEMENTS:

@@ -11,8 +11,8 @@ from factloom.model import RESOLVE_LIMIT, SEARCH_LIMIT, GraphError, live
 
 
 def _ordered(types: list[str] | None):
-    """A type's place in the schema, which breaks ties; unknown types last."""
-    return F.coalesce(F.array_position(F.array(*map(F.lit, types)), F.col("label")), F.lit(0)).cast("int") if types else F.lit(0)
+    """A type's place in the schema, which breaks ties; without a schema its name."""
+    return F.coalesce(F.array_position(F.array(*map(F.lit, types)), F.col("label")), F.lit(0)).cast("int") if types else F.col("label")
 
 
 def check_type(type_: str, types: list[str]) -> str:

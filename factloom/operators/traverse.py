@@ -33,9 +33,11 @@ def bfs(links: DataFrame, start: DataFrame, depth: int | None, scratch: Scratch)
     while depth is None or k < depth:
         k += 1
         seen = reduce(DataFrame.unionByName, levels).select("id")
-        near = links.join(broadcast_if_small(levels[-1].select("id")), "id").select(F.col("other").alias("id")).distinct()
-        new = scratch.write(near.join(broadcast_if_small(seen), "id", "left_anti").select("id", F.lit(k).alias("dist")), f"level{k}")
-        if new.isEmpty():
+        last = levels[-1]
+        near = links.join(broadcast_if_small(last.select("id"), rows=last.scratch_rows), "id").select(F.col("other").alias("id")).distinct()
+        new = near.join(broadcast_if_small(seen, rows=sum(x.scratch_rows for x in levels)), "id", "left_anti").select("id", F.lit(k).alias("dist"))
+        new = scratch.write(new, f"level{k}")
+        if not new.scratch_rows:
             break
         levels.append(new)
     return reduce(DataFrame.unionByName, levels)
@@ -73,13 +75,14 @@ class Connections:
         s = Scratch(spark, "connections")
         on_paths = s.write(path_edges(graph, [anchor], depth, types), "path-edges")
         ends = on_paths.select(F.explode(F.array("start_id", "end_id")).alias("id")).unionByName(seeds(spark, [anchor])).distinct()
+        ends = s.write(ends, "ends")
         alive = s.write(live(graph.vertices).join(broadcast_if_small(ends), "id", "left_semi"), "live-vertices")
-        names = broadcast_if_small(alive.select("id"))
+        names = broadcast_if_small(alive.select("id"), rows=alive.scratch_rows)
         kept = on_paths.join(names.withColumnRenamed("id", "start_id"), "start_id", "left_semi").join(names.withColumnRenamed("id", "end_id"), "end_id", "left_semi")
         kept = s.write(kept, "live-edges")
-        self.reached = bfs(undirected(kept).select("id", "other"), seeds(spark, [anchor]), None, s)
+        self.reached = s.write(bfs(undirected(kept).select("id", "other"), seeds(spark, [anchor]), None, s), "reached")
         self.entities = alive.join(broadcast_if_small(self.reached), "id").filter(F.col("id") != anchor)
-        own = broadcast_if_small(self.reached.select("id"))
+        own = broadcast_if_small(self.reached.select("id"), rows=self.reached.scratch_rows)
         self.relationships = kept.join(own.withColumnRenamed("id", "start_id"), "start_id", "left_semi").join(own.withColumnRenamed("id", "end_id"), "end_id", "left_semi")
 
 

@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is only broadcast when it is proven to hold at most this many rows.
@@ -61,13 +61,16 @@ class Scratch:
         self._count = 0
 
     def write(self, df: DataFrame, label: str = "t", by: list[str] | None = None) -> DataFrame:
-        """Write `df` once and return it as read back; its path is kept in `.scratch_path`."""
+        """Write `df` once and return it as read back; `.scratch_path` keeps its path, `.scratch_rows` the rows counted while writing.
+
+        A stage that is run again may count rows twice, so the number is an upper bound.
+        """
         self._count += 1
-        path = f"{self.root}/{self._count:03d}-{label}"
-        writer = df.write.mode("error").option("compression", "zstd")
+        path, seen = f"{self.root}/{self._count:03d}-{label}", Observation()
+        writer = df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("error").option("compression", "zstd")
         (writer.partitionBy(*by) if by else writer).parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
-        back.scratch_path = path
+        back.scratch_path, back.scratch_rows = path, seen.get.get("rows") or 0
         return back
 
     def drop(self, *tables: DataFrame | None) -> None:
@@ -79,7 +82,7 @@ class Scratch:
                 path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """`df` with a broadcast hint if it holds at most `limit` rows, counted here; else unchanged, so that it is shuffled."""
-    few = df.limit(limit + 1).count() <= limit
-    return F.broadcast(df) if few else df
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS, rows: int | None = None) -> DataFrame:
+    """`df` with a broadcast hint if it holds at most `limit` rows, known or counted here; else unchanged, so that it is shuffled."""
+    rows = getattr(df, "scratch_rows", None) if rows is None else rows
+    return F.broadcast(df) if (df.limit(limit + 1).count() if rows is None else rows) <= limit else df

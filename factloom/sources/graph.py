@@ -22,9 +22,8 @@ class Graph:
     edges: DataFrame
 
     def stored(self, label: str = "graph") -> Graph:
-        """Both written once, for plans that read them many times."""
-        s = Scratch(self.vertices.sparkSession, label)
-        return Graph(s.write(self.vertices, "vertices"), s.write(self.edges, "edges"))
+        """The edges written once, for plans that read them in every round; vertices are read once or twice, where they are."""
+        return Graph(self.vertices, Scratch(self.vertices.sparkSession, label).write(self.edges, "edges"))
 
 
 def _vertices(df: DataFrame, label: str, key: str, name, created=None, deleted=None, **properties: str) -> DataFrame:
