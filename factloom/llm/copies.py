@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.runtime import Scratch, broadcast_if_small
+from factloom.runtime import Scratch, broadcast_if_small, ship
 
 #: Bytes by which a bucket is split further, and leaders a bucket may hold.
 STEP = 2
@@ -151,6 +151,7 @@ class Copies:
     def __init__(self, df: DataFrame, key: str = "record_id"):
         self.df, self.key = df, key
         s = self.scratch = Scratch(df.sparkSession, "copies")
+        ship(df.sparkSession)
         forms = df.filter(df[key].isNotNull()).select(canonical_form(df).alias("form"), df[key].cast("long").alias("id"))
         folded = s.write(forms.mapInArrow(_fold, "form binary, id long, leader long, n long"), "folded")
         # a leader is its task's first record, not always its smallest

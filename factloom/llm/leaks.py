@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.encode import chunks
-from factloom.runtime import Scratch, broadcast_if_small
+from factloom.runtime import Scratch, broadcast_if_small, ship
 
 GRAM = 5
 SPAN = 12
@@ -119,6 +119,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key:
     the document counts. Null, empty and short texts share nothing; rows without a key are left out; repeated rows count once.
     """
     s = Scratch(docs.sparkSession, "leaks")
+    ship(docs.sparkSession)
     theirs = broadcast_if_small(s.write(_prints(items, item_key, text, gram, span, "item", "ipos"), "item-prints"))
     hits = _prints(docs, doc_key, text, gram, span, "doc", "dpos").join(theirs, "print").select("doc", "item", "dpos", "ipos")
     pairs = s.write(hits.groupBy("doc", "item").agg(F.collect_set(F.struct("dpos", "ipos")).alias("hits")), "hits")

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.ids import UUID_PATTERN, canonical_id
-from factloom.runtime import Scratch, broadcast_if_small
+from factloom.runtime import Scratch, broadcast_if_small, ship
 
 #: Words before or after a person's name, legal forms of companies, and words that may be left out.
 TITLES = ("mr", "mrs", "ms", "miss", "mx", "dr", "prof", "professor", "sir", "madam", "dame", "rev", "hon", "jr", "sr", "phd", "md", "esq", "ing", "dipl", "herr", "frau", "mme", "mlle")
@@ -220,6 +220,7 @@ def token_slips(words: DataFrame, known: list[str], scratch: Scratch) -> DataFra
 def resolve(names: DataFrame, nicknames: DataFrame) -> DataFrame:
     """(graph_name, name, entity): the entity each spelling stands for; spellings with one entity mean the same. See `link`."""
     s = Scratch(names.sparkSession, "names")
+    ship(names.sparkSession)
     nicks = [tuple(r) for r in nicknames.select("nick", "given_name").dropna().distinct().limit(NICKNAMES_MOST + 1).collect()]
     if len(nicks) > NICKNAMES_MOST:
         raise ValueError(f"the table of nicknames may hold at most {NICKNAMES_MOST} rows")

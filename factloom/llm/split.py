@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm import bpe
 from factloom.llm.encode import chunks
+from factloom.runtime import ship
 
 LIMIT = 1024
 OVERLAP = 64
@@ -143,6 +144,7 @@ def split(df: DataFrame, key: str = "doc_id", text: str = "text", limit: int = L
     Texts within the limit, null texts and empty texts give no rows. Rows come out as often as they go in.
     """
     path = path or bpe.default_path()
+    ship(df.sparkSession)
     names = ["key", "piece", "n_pieces", "start", "stop", "n_tokens", "n_shared", "boundary", *(["text"] if with_text else [])]
 
     def run(batches):
