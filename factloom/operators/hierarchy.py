@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from factloom.ids import pack_id, unpack_id
-from factloom.runtime import Scratch
+from factloom.runtime import Scratch, ship
 
 #: At most so many list elements are ranked in one task; above it the distributed rounds go on.
 LOCAL_ELEMENTS = 1 << 15
@@ -142,6 +142,7 @@ def rank_tours(edges: DataFrame, scratch: Scratch, ends: bool = False) -> DataFr
         table = scratch.write(_round(active, len(rounds)).observe(seen, F.count_if(~F.coalesce(done, F.lit(False))).alias("n")), f"round{len(rounds)}")
         rounds.append(table)
         active, left = table.select("id", "next", "wp", "wd", "head").filter(~F.coalesce(done, F.lit(False))), seen.get["n"] or 0
+    ship(edges.sparkSession)
     local = active.repartition(1).mapInPandas(_rank_locally, "id long, pos long, dep long, tour long, open boolean")
     ranks = local
     for k, table in reversed(list(enumerate(rounds))):

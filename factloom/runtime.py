@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 _local_dirs: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def build_session(master: str = "local[8]", app: str = "factloom", **conf: str) -> SparkSession:
@@ -52,6 +55,19 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_local_dirs[app]}"
 
 
+def ship(spark: SparkSession) -> None:
+    """Hands this package to the Python workers of the session, once; operators with Python stages call it."""
+    app, root = spark.sparkContext.applicationId, Path(__file__).resolve().parent
+    if app not in _shipped and root.is_dir():
+        folder = tempfile.mkdtemp(prefix="factloom-ship-")  # on the driver only, which serves the file to all executors
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        with zipfile.ZipFile(f"{folder}/{root.name}.zip", "w", zipfile.ZIP_DEFLATED) as z:
+            for p in root.rglob("*.py"):
+                z.write(p, p.relative_to(root.parent))
+        spark.sparkContext.addPyFile(f"{folder}/{root.name}.zip")
+        _shipped.add(app)
+
+
 class Scratch:
     """Tables written to the shared folder. They cut lineage and survive the loss of executors."""
 

@@ -25,6 +25,10 @@ class Graph:
         """The edges written once, for plans that read them in every round; vertices are read once or twice, where they are."""
         return Graph(self.vertices, Scratch(self.vertices.sparkSession, label).write(self.edges, "edges"))
 
+    def sql(self, text: str, args: dict | None = None) -> DataFrame:
+        """An ad-hoc query over {vertices} and {edges}; values are passed as named parameters (:name), never as text."""
+        return self.vertices.sparkSession.sql(text, args=args, vertices=self.vertices, edges=self.edges)
+
 
 def _vertices(df: DataFrame, label: str, key: str, name, created=None, deleted=None, **properties: str) -> DataFrame:
     bag = [x for k, c in properties.items() for x in (F.lit(k), F.col(c).cast("string"))]

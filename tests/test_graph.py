@@ -132,3 +132,9 @@ def test_containment(spark):
     frame = lambda x: spark.createDataFrame([(t,) for t in x], "t string")
     got = {tuple(x) for x in containment(frame(texts), frame(other)).collect()}
     assert got == {(a, b) for a in texts if a for b in other if b and a in b}
+
+
+def test_ad_hoc_queries(spark):
+    g = graph(spark, 3, [(0, 1), (1, 2)])
+    got = g.sql("SELECT v.name, count(*) AS n FROM {edges} e JOIN {vertices} v ON v.id = e.end_id WHERE v.name = :name GROUP BY 1", {"name": "name 2"})
+    assert [tuple(r) for r in got.collect()] == [("name 2", 1)] and g.sql("SELECT * FROM {vertices} WHERE name = :n", {"n": "' OR '1'='1"}).count() == 0

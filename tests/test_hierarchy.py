@@ -62,8 +62,7 @@ def forest(n, seed, hot=False):
     return rows + [(None, names[0]), ("", None)]
 
 
-@pytest.mark.parametrize("seed,hot", [(1, False), (2, True), (3, False)])
-@pytest.mark.parametrize("local", [1 << 15, 4])
+@pytest.mark.parametrize("seed,hot,local", [(1, False, 1 << 15), (2, True, 4), (3, False, 4)])
 def test_against_walks(spark, monkeypatch, seed, hot, local):
     monkeypatch.setattr(hierarchy, "LOCAL_ELEMENTS", local)
     monkeypatch.setattr(hierarchy, "HOT_LEAST", 20)
