@@ -191,8 +191,12 @@ def _slip(a: Column, b: Column) -> Column:
     return (near == 1) | ((near == 2) & (F.length(a) == F.length(b)) & swapped)
 
 
-def token_slips(words: DataFrame, known: list[str], scratch: Scratch) -> DataFrame:
-    """(graph_name, token, meant): tokens taken for better supported ones. words: (graph_name, token, n, graphs)."""
+def near_tokens(words: DataFrame, known: list[str], scratch: Scratch) -> DataFrame:
+    """(graph_name, a, an, ag, b, bn, bg): all pairs of a graph's tokens that one edit turns into each other, a not a known word.
+
+    words: (graph_name, token, n, graphs), one row per graph and token. An edit touches at most four of a token's grams and moves the
+    others by at most one place, so of the PREFIX rarest grams of either token one is shared.
+    """
     long = words.filter(F.length("token") >= 3)
     padded = F.concat(F.lit("##"), F.col("token"), F.lit("$$"))
     grams = long.select("graph_name", "token", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("token") + 2), lambda i: F.substr(padded, i, F.lit(GRAM)))).alias("pos", "gram"))
@@ -202,7 +206,12 @@ def token_slips(words: DataFrame, known: list[str], scratch: Scratch) -> DataFra
     slips = prefix.filter(~F.col("token").isin(known)).select("graph_name", "gram", F.col("token").alias("a"), F.col("n").alias("an"), F.col("graphs").alias("ag"), F.explode(F.array(F.col("pos") - 1, F.col("pos"), F.col("pos") + 1)).alias("pos"))
     meant = prefix.filter(F.length("token") >= 4).select("graph_name", "gram", "pos", F.col("token").alias("b"), F.col("n").alias("bn"), F.col("graphs").alias("bg"))
     near = slips.join(meant, ["graph_name", "gram", "pos"]).filter((F.abs(F.length("a") - F.length("b")) <= 1) & (F.col("a") != F.col("b"))).select("graph_name", "a", "an", "ag", "b", "bn", "bg").distinct()
-    near = scratch.write(near.filter(_slip(F.col("a"), F.col("b"))), "near")
+    return scratch.write(near.filter(_slip(F.col("a"), F.col("b"))), "near")
+
+
+def token_slips(words: DataFrame, known: list[str], scratch: Scratch) -> DataFrame:
+    """(graph_name, token, meant): tokens taken for better supported ones."""
+    near = near_tokens(words, known, scratch)
     # slips of one word resemble that word more often than each other, so the word with most neighbours is the one that is meant
     ends = F.array(F.struct(F.col("a").alias("token"), F.col("b").alias("other")), F.struct(F.col("b").alias("token"), F.col("a").alias("other")))
     degree = near.select("graph_name", F.inline(ends)).distinct().groupBy("graph_name", "token").agg(F.count(F.lit(1)).alias("degree"))

@@ -1,6 +1,8 @@
+import random
 from itertools import combinations
 
-from factloom.llm.names import Forms, abbreviated, link, resolve, spellings, tokens
+from factloom.llm.names import Forms, abbreviated, link, near_tokens, resolve, spellings, tokens
+from factloom.runtime import Scratch
 
 NICKS = [("Bob", "Robert"), ("Jo", "Joseph"), ("Jo", "Josephine"), ("Tony", "Anthony"), ("Dan", "Daniel"), ("X", None)]
 GROUPS = [
@@ -48,3 +50,27 @@ def test_empty(spark):
     df = spark.createDataFrame([], "graph_name string, name string, kind string")
     nicks = spark.createDataFrame([], "nick string, given_name string")
     assert link(resolve(spellings(df), nicks)).count() == 0
+
+
+def edits(a, b):
+    """Optimal string alignment distance."""
+    d = {(i, -1): i + 1 for i in range(-1, len(a))} | {(-1, j): j + 1 for j in range(-1, len(b))}
+    for i in range(len(a)):
+        for j in range(len(b)):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i] != b[j]))
+            if i and j and a[i] == b[j - 1] and a[i - 1] == b[j]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a) - 1, len(b) - 1]
+
+
+def test_near_tokens_against_brute_force(spark):
+    r = random.Random(11)
+    toks = {"".join(r.choice("abcd") for _ in range(r.randrange(1, 9))) for _ in range(250)} | {"anna", "annna", "aann", "ämne", "amne", "w" * 300, "w" * 301}
+    for t in list(toks)[:120]:
+        k = r.randrange(len(t))
+        toks |= {t[:k] + t[k + 1:], t[:k] + "x" + t[k:], t[:k] + "y" + t[k + 1:], t[:k] + t[k + 1:k + 2] + t[k:k + 1] + t[k + 2:]}
+    toks = sorted(t for t in toks if t)
+    words = spark.createDataFrame([("g", t, 1, 1) for t in toks] + [("other", "abcd", 1, 1), ("other", "abce", 1, 1)], "graph_name string, token string, n long, graphs long")
+    got = {(x["graph_name"], x["a"], x["b"]) for x in near_tokens(words, ["anna"], Scratch(spark, "near")).collect()}
+    want = {("g", a, b) for a in toks for b in toks if a != b and a != "anna" and len(a) > 2 and len(b) > 3 and abs(len(a) - len(b)) < 2 and edits(a, b) == 1}
+    assert got == want | {("other", "abcd", "abce"), ("other", "abce", "abcd")}, (sorted(got - want)[:5], sorted(want - got)[:5])
