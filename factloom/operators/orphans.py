@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.ids import pack_id, unpack_id
@@ -117,9 +117,13 @@ def track(references: list[DataFrame], parents: list[DataFrame], steps: int = 3)
     if span[0] is None:
         tracker.advance(refs, pars)
         return tracker
-    edges = [span[0] + (span[1] - span[0]) * k / steps for k in range(1, steps)]
+    cuts = [F.lit(span[0] + (span[1] - span[0]) * k / steps).cast("timestamp_ntz") for k in range(1, steps)]
+
+    def within(c: Column, k: int) -> Column:
+        low = c >= cuts[k - 1] if k else F.lit(True)
+        high = c < cuts[k] if k < steps - 1 else F.lit(True)
+        return F.coalesce(low & high, F.lit(k == 0))
+
     for k in range(steps):
-        part = F.lit(True)
-        within = lambda c, k=k: ((c.isNull() if k == 0 else F.lit(False)) | ((c >= F.lit(edges[k - 1]).cast("timestamp_ntz") if k else F.lit(True)) & (c < F.lit(edges[k]).cast("timestamp_ntz") if k < steps - 1 else F.lit(True))))
-        tracker.advance(refs.filter(part & within(F.col("arrived"))), pars.filter(within(F.col("seen"))))
+        tracker.advance(refs.filter(within(F.col("arrived"), k)), pars.filter(within(F.col("seen"), k)))
     return tracker

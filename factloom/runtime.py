@@ -17,6 +17,7 @@ BROADCAST_ROWS = 200_000
 
 _local_dirs: dict[str, str] = {}
 _shipped: set[str] = set()
+_scratch_roots: set[str] = set()
 
 
 def build_session(master: str = "local[8]", app: str = "factloom", **conf: str) -> SparkSession:
@@ -68,12 +69,29 @@ def ship(spark: SparkSession) -> None:
         _shipped.add(app)
 
 
+def _delete_at_exit(spark: SparkSession, folder: str) -> None:
+    """Deletes the application's scratch folder when the driver ends; results that are still read then are none."""
+
+    def delete():
+        try:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        except Exception:
+            pass  # the session is gone; the folder is left to whoever looks after the shared one
+
+    if folder not in _scratch_roots:
+        _scratch_roots.add(folder)
+        atexit.register(delete)
+
+
 class Scratch:
     """Tables written to the shared folder. They cut lineage and survive the loss of executors."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+        top = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+        _delete_at_exit(spark, top)
+        self.root = f"{top}/{label}-{uuid.uuid4().hex}"
         self._count = 0
 
     def write(self, df: DataFrame, label: str = "t", by: list[str] | None = None) -> DataFrame:
