@@ -75,7 +75,7 @@ class GraphStore:
         version, added = self.version + 1, {}
         for kind, df in (("vertices", vertices), ("edges", edges)):
             if df is not None:
-                added[kind] = f"{kind}/{version:010d}"
+                added[kind] = f"{kind}/version={version}"
                 schema = self.spark.createDataFrame([], KINDS[kind]).schema
                 df.select(*(F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema)).write.partitionBy("label").parquet(f"{self.root}/{added[kind]}")
         self._put({"version": version, "base": base, **added, **({"note": note} if note else {})})
@@ -84,16 +84,18 @@ class GraphStore:
     def _log(self, kind: str, as_of: int | None) -> DataFrame:
         commits = [c for c in self._commits() if as_of is None or c["version"] <= as_of]
         start = max((k for k, c in enumerate(commits) if c["base"]), default=0)
-        folders = [(c["version"], f"{self.root}/{c[kind]}") for c in commits[start:] if kind in c]
-        df = self.spark.createDataFrame([], KINDS[kind]).withColumn("version", F.lit(0))
-        for version, folder in folders:
-            df = df.unionByName(self.spark.read.schema(KINDS[kind]).parquet(folder).withColumn("version", F.lit(version)))
-        return df
+        folders = [f"{self.root}/{c[kind]}" for c in commits[start:] if kind in c]
+        schema = f"{KINDS[kind]}, version int"
+        if not folders:
+            return self.spark.createDataFrame([], schema)
+        # one scan of all commits; version and label are partition columns
+        return self.spark.read.schema(schema).option("basePath", f"{self.root}/{kind}").parquet(*folders)
 
     def _state(self, kind: str, as_of: int | None) -> DataFrame:
+        """The last version of each id. Filters on id and label reach the scan, columns that nothing asks for aren't read."""
         log = self._log(kind, as_of)
-        columns = [c for c in log.columns if c != "version"]
-        return log.groupBy("id").agg(F.max_by(F.struct(*columns), "version").alias("r")).select(*(F.col(f"r.{c}").alias(c) for c in columns))
+        columns = [c for c in log.columns if c not in ("version", "id", "label")]
+        return log.groupBy("id", "label").agg(*(F.max_by(c, "version").alias(c) for c in columns))
 
     def graph(self, as_of: int | None = None) -> Graph:
         """The state after the last commit, or after commit `as_of`."""
