@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is only broadcast when it is proven to hold at most this many rows.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 50_000
 
 _local_dirs: dict[str, str] = {}
 _shipped: set[str] = set()
