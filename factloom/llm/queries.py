@@ -31,7 +31,8 @@ def queries() -> dict:
         "p6_records": lambda spark, d: Copies(table(spark, d, "bulk_inputs")).records().select("record_id", "name", "n_copies"),
         "p7_ids": lambda spark, d: encode(table(spark, d, "documents")),
         "p8_found": lambda spark, d: _leaks(spark, d).select("doc_id", "item_id"),
-        "p8_items": lambda spark, d: _leaks(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.max("n_words").alias("longest")),
+        "p8_items": lambda spark, d: _leaks(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs")).join(table(spark, d, "eval_items"), "item_id").select("item_id", "suite", "split", "n_docs"),
+        "p8_spans": lambda spark, d: _leaks(spark, d),
         "p9_found": lambda spark, d: split(table(spark, d, "documents"), with_text=False).filter("piece = 0").select("doc_id"),
         "p9_pieces": lambda spark, d: split(table(spark, d, "documents")),
     }
@@ -67,4 +68,5 @@ def oracle_sql() -> dict[str, str]:
         "p6_found": f"WITH {_FORM} SELECT first_id, record_id AS copy_id FROM g WHERE record_id != first_id",
         "p6_records": f"WITH {_FORM} SELECT record_id, raw AS name, n AS n_copies FROM g WHERE record_id = first_id",
         "p8_found": f"WITH {_GRAMS} SELECT doc_id, item_id FROM found",
+        "p8_items": f"WITH {_GRAMS} SELECT item_id, suite, split, count(*) AS n_docs FROM found JOIN eval_items USING (item_id) GROUP BY ALL",
     }
