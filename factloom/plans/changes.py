@@ -59,7 +59,7 @@ def _bulk(spark, d):
     rows = table(spark, d, "relationship_inputs").select("input_id", "from_name", "to_name", "from_type", "to_type").dropDuplicates(["input_id"])
     ends = rows.select(F.col("input_id").alias("index"), F.inline(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"{f}_name").alias("ref"), F.col(f"{f}_type").alias("hint")) for f in ("from", "to")))))
     batch = table(spark, d, "entity_inputs").filter("entity_id is not null").select("name", F.col("entity_type").alias("label"), F.col("entity_id").alias("id"))
-    return mutate.resolve_references(ends, batch, current_vertices(table(spark, d, "entities"))).select("index", "field", "id", F.col("error").isNotNull().alias("failed"))
+    return mutate.resolve_references(ends, batch, memory_graph(spark, d).vertices).select("index", "field", "id", F.col("error").isNotNull().alias("failed"))
 
 
 def _agtype(spark, d):

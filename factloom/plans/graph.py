@@ -40,14 +40,14 @@ def queries() -> dict:
         "search_ranked": lambda s, d: search.search(star_graph(s, d).vertices, " Customer#00000001 ", TYPES, limit=20).drop("properties"),
         "search_type_filter": lambda s, d: search.search(star_graph(s, d).vertices, "a", TYPES, "Nation").drop("properties"),
         "search_exact": lambda s, d: search.search(star_graph(s, d).vertices, "ASIA", TYPES, exact=True).drop("properties"),
-        "search_memory": lambda s, d: search.search(current_vertices(table(s, d, "entities")), "Gabriel", MEMORY_TYPES, limit=25).drop("properties"),
+        "search_memory": lambda s, d: search.search(memory_graph(s, d).vertices, "Gabriel", MEMORY_TYPES, limit=25).drop("properties"),
         "resolve_batch": lambda s, d: search.resolve_many(star_graph(s, d).vertices, RESOLVE, TYPES),
         "list_entities": lambda s, d: search.listing(star_graph(s, d).vertices, TYPES, limit=50),
         "list_entities_by_type": lambda s, d: search.listing(star_graph(s, d).vertices, TYPES, "Nation"),
         "relationships_out": lambda s, d: neighbours.relationships(star_graph(s, d), ANCHOR, "out", limit=5).drop("properties"),
         "relationships_in": lambda s, d: neighbours.relationships(star_graph(s, d), "nation:3", "in", "LOCATED_IN", None).drop("properties"),
         "relationships_both": lambda s, d: neighbours.relationships(star_graph(s, d), ANCHOR, "both", limit=7).drop("properties"),
-        "relationships_flat": lambda s, d: neighbours.with_names(current_edges(table(s, d, "relationships")), current_vertices(table(s, d, "entities"))).withColumn("properties", F.array_join(F.array_sort(F.transform(F.map_entries("properties"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";")),
+        "relationships_flat": lambda s, d: neighbours.with_names(memory_graph(s, d).edges, memory_graph(s, d).vertices).withColumn("properties", F.array_join(F.array_sort(F.transform(F.map_entries("properties"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";")),
         "khop_filtered_types": lambda s, d: traverse.hops(_stored(s, d), [ANCHOR], 3, ["PLACED", "LOCATED_IN"]),
         "khop_edges_d2": lambda s, d: traverse.path_edges(_stored(s, d), [ORDER], 2).select("id", "label"),
         "khop_live_component": lambda s, d: traverse.Connections(_stored(s, d), ORDER, 2).entities.select("id", "label", "name"),
