@@ -2,7 +2,8 @@
 
 1. Tokens of a graph are joined by similarity: positional 3-grams, prefix-filtered by the grams' rarity, verified by an edit
    distance of one (insertion, deletion, substitution, or two neighbours swapped). A token that is typed rarely and resembles a
-   better supported one of its graph is taken for it; words that are known, or common in other graphs too, are never taken for others.
+   better supported one of its graph is taken for it, known words never. If another token is typed with both in the graph, that
+   decides; only where the graph says nothing does it count how common both are in other graphs.
 2. Every spelling gives the entities it may stand for, as sets of whole tokens: nicknames and abbreviations are written out in
    every way, titles, legal forms and initials are optional. Spellings of one token, or of one token and an initial, look up
    the entities by their rarest token, with the initial, or by tokens written together.
@@ -43,7 +44,8 @@ BUSINESS = (
 NICK, ABBREVIATION, INITIAL, TOGETHER, ACRONYM = 0.9, 0.9, 0.6, 0.95, 0.8
 #: A candidate needs this similarity; against an equally good one it needs so many times its support.
 LEAST, CLEARLY = 0.25, 3.0
-#: A word in more than one graph is a slip of a similar one only if it occurs in at most this share of that one's graphs.
+#: Where no other token of the graph is typed with both, a word in more than one graph is a slip of a similar one only if it
+#: occurs in at most this share of that one's graphs.
 SLIP_SHARE = 0.15
 #: The same for slips of known words.
 KNOWN_SHARE = 0.5
@@ -209,8 +211,28 @@ def near_tokens(words: DataFrame, known: list[str], scratch: Scratch) -> DataFra
     return scratch.write(near.filter(_slip(F.col("a"), F.col("b"))), "near")
 
 
-def token_slips(words: DataFrame, known: list[str], scratch: Scratch) -> DataFrame:
-    """(graph_name, token, meant): tokens taken for better supported ones."""
+def typed_with_both(pairs: DataFrame, each: DataFrame, slips: DataFrame, optional: list[str]) -> DataFrame:
+    """The (graph_name, a, b) pairs for which another token of the graph is typed with `a` in one spelling and with `b` in another.
+
+    each: (sid, graph_name, token); the other token counts as it is meant by slips (graph_name, a, b). Optional words and letters
+    say nothing, and what may abbreviate a business word is no slip by this rule.
+    """
+
+    def whole(batches):
+        for x in batches:
+            yield x.filter(pa.array([not abbreviated(t) for t in x.column("a").to_pylist()], pa.bool_()))
+
+    kept = pairs.select("graph_name", "a", "b").mapInArrow(whole, "graph_name string, a string, b string")
+    asked = pairs.select("graph_name", F.explode(F.array("a", "b")).alias("token")).distinct()
+    others = each.join(asked, ["graph_name", "token"]).select("sid", "graph_name", "token").distinct().join(each.select("sid", F.col("token").alias("other")), "sid")
+    others = others.filter((F.col("other") != F.col("token")) & (F.length("other") > 1) & ~F.col("other").isin(optional)).select("graph_name", "token", "other").distinct()
+    one = slips.groupBy("graph_name", F.col("a").alias("other")).agg(F.max("b").alias("meant"))
+    others = others.join(one, ["graph_name", "other"], "left").select("graph_name", "token", F.coalesce("meant", "other").alias("other")).distinct()
+    return kept.join(others.withColumnRenamed("token", "a"), ["graph_name", "a"]).join(others.withColumnRenamed("token", "b"), ["graph_name", "b", "other"]).select("graph_name", "a", "b").distinct()
+
+
+def token_slips(words: DataFrame, each: DataFrame, known: list[str], optional: list[str], scratch: Scratch) -> DataFrame:
+    """(graph_name, token, meant): tokens taken for better supported ones. each: (sid, graph_name, token)."""
     near = near_tokens(words, known, scratch)
     # slips of one word resemble that word more often than each other, so the word with most neighbours is the one that is meant
     ends = F.array(F.struct(F.col("a").alias("token"), F.col("b").alias("other")), F.struct(F.col("b").alias("token"), F.col("a").alias("other")))
@@ -219,7 +241,12 @@ def token_slips(words: DataFrame, known: list[str], scratch: Scratch) -> DataFra
     both = both.withColumn("bk", F.col("b").isin(known))
     better = F.col("bk") | (F.struct("bg", "bd", "bn", "b") > F.struct("ag", "ad", "an", "a"))
     rare = F.col("ag") <= F.greatest(F.lit(1.0), F.when(F.col("bk"), KNOWN_SHARE).otherwise(SLIP_SHARE) * F.col("bg"))
-    to = both.filter(better & rare).groupBy("graph_name", "a").agg(F.max(F.struct("bk", "bg", "bd", "bn", "b")).alias("m")).select("graph_name", "a", F.col("m.b").alias("b"))
+    both = scratch.write(both.filter(better).select("graph_name", "a", "b", "bk", "bg", "bd", "bn", rare.alias("rare")), "better")
+    slips = both.filter("rare")
+    common = scratch.write(both.filter("not rare"), "common")
+    if common.scratch_rows:
+        slips = slips.unionByName(common.join(typed_with_both(common, each, slips, optional), ["graph_name", "a", "b"], "left_semi"))
+    to = slips.groupBy("graph_name", "a").agg(F.max(F.struct("bk", "bg", "bd", "bn", "b")).alias("m")).select("graph_name", "a", F.col("m.b").alias("b"))
     for k in range(2):  # four steps of slips of slips
         to = scratch.write(to, f"slips{k}")
         to = to.join(to.select("graph_name", F.col("a").alias("b"), F.col("b").alias("c")), ["graph_name", "b"], "left").select("graph_name", "a", F.coalesce("c", "b").alias("b"))
@@ -245,7 +272,8 @@ def resolve(names: DataFrame, nicknames: DataFrame) -> DataFrame:
     in_graph = each.groupBy("graph_name", "token").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("df"))
     in_graph = s.write(in_graph, "graph-tokens")
     corpus = s.write(in_graph.groupBy("token").agg(F.count(F.lit(1)).alias("graphs"), F.sum("df").alias("df")), "corpus-tokens")
-    slips = s.write(token_slips(in_graph.join(corpus.drop("df"), "token").select("graph_name", "token", "n", "graphs"), sorted(forms.known()), s), "meant")
+    words = in_graph.join(corpus.drop("df"), "token").select("graph_name", "token", "n", "graphs")
+    slips = s.write(token_slips(words, each.select("sid", "graph_name", "token"), sorted(forms.known()), sorted(forms.optional), s), "meant")
     total = float(known.count())
     meant = each.join(slips, ["graph_name", "token"], "left").select("sid", "k", F.col("token").alias("raw"), F.coalesce("meant", "token").alias("token"))
     weigh = F.log(F.lit(1.0) + F.lit(total) / F.coalesce("df", F.lit(1)))

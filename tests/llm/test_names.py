@@ -39,6 +39,18 @@ def test_variants_are_linked(spark):
     assert got == want, (sorted(got - want), sorted(want - got))
 
 
+def test_a_slip_is_decided_in_its_graph(spark):
+    teams = [("g", "Quality Onboarding Team"), ("g", "Quality Onbooarding team"), ("g", "Len Qulethust"), ("g", "Lena Floumognan"), ("g", "Thasko Networks Ins."), ("g", "Thasko Networks Inds")]
+    teams += [("g", "Vinent Tylmyst"), ("g", "Vinecnt Tylmyst")]
+    nicks = spark.createDataFrame([("Lena", "Helena")], "nick string, given_name string")
+    other = [(f"o{k}", n) for k in range(4) for n in ("Growth Onbooarding", "Len Thoskund", "Thoskund Ins.", "Thoskund Inds", "Vinent Thoskund", "Vinecnt Goandula")]
+    for rows in (teams, teams + other):
+        df = spark.createDataFrame([(g, n, None) for g, n in rows], "graph_name string, name string, kind string")
+        got = {tuple(r)[1:] for r in link(resolve(spellings(df), nicks)).collect() if r["graph_name"] == "g"}
+        want = {("Quality Onboarding Team", "Quality Onbooarding team"), ("Vinecnt Tylmyst", "Vinent Tylmyst")}
+        assert want <= got and (rows is teams or got == want), got
+
+
 def test_parts():
     assert tokens("ThaskoryServicesFoundation") == ["thaskory", "services", "foundation"] and tokens("O'Brien, Séan ") == ["obrien", "sean"]
     assert abbreviated("mgmt") == ["management"] and "documentation" in abbreviated("docs") and abbreviated("zz") == []
