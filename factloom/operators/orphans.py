@@ -33,7 +33,7 @@ class OrphanTracker:
 
     A reference is an orphan if its parent is not live when it arrives: live from the parent's earliest row until just
     before it is deleted. Null and blank references and records without an id are no references. A record that arrives
-    again keeps its first arrival and the values it had then (of rows at one instant the smallest values).
+    again keeps its first arrival, and of each field the first value that is filled (of rows at one instant the smallest).
     """
 
     def __init__(self, spark: SparkSession):
@@ -41,6 +41,7 @@ class OrphanTracker:
         self.parents: DataFrame | None = None
         self.settled: list[DataFrame] = []
         self.waiting: list[DataFrame] = []
+        self.blank: list[DataFrame] = []
         self.orphans: list[DataFrame] = []
         self.moves: list[DataFrame] = []
 
@@ -56,14 +57,24 @@ class OrphanTracker:
             index = s.write(both.select("key", "seen", "gone", (F.col("old") == 0).alias("is_new"), (F.col("gone").isNotNull() & ~F.coalesce("was_gone", F.lit(False))).alias("is_gone")), "parents")
             s.drop(before)
         self.parents = index
-        refs = references.filter("ref_id is not null").groupBy("ref_table", "ref_id").agg(F.min(F.struct("arrived", "keys")).alias("first"))
-        known = [t.select("ref_table", "ref_id") for t in (*self.settled, *self.orphans)]
+        # each stored row has all fields, filled or not, so the first arrival of a field is that of its record
+        rows = references.filter("ref_id is not null").select("ref_table", "ref_id", "arrived", F.inline("keys"))
+        field = ["ref_table", "ref_id", "ref_field"]
+        filled = F.when(F.col("key").isNotNull(), F.struct("arrived", "key"))
+        each = rows.groupBy(field).agg(F.min("arrived").alias("arrived"), F.min(filled).alias("first")).select(*field, "arrived", F.col("first.key").alias("key"))
+        known = [t.select(field) for t in (*self.settled, *self.orphans)]
         if known:
-            refs = refs.join(reduce(DataFrame.unionByName, known), ["ref_table", "ref_id"], "left_anti")
-        each = refs.select("ref_table", "ref_id", F.col("first.arrived").alias("arrived"), F.inline("first.keys")).filter("key is not null")
+            each = each.join(reduce(DataFrame.unionByName, known), field, "left_anti")
+        if self.blank:
+            was = reduce(DataFrame.unionByName, self.blank).groupBy(field).agg(F.min("arrived").alias("was"))
+            each = each.join(was, field, "left").select(*field, F.least("arrived", "was").alias("arrived"), "key")
+        came_in = s.write(each, "arrivals")
+        self.blank.append(s.write(came_in.filter("key is null").select(*field, "arrived"), "blank"))
+        each = came_in.filter("key is not null")
         probed = each.join(index.select("key", "seen", "gone"), "key", "left")
         live = F.coalesce((F.col("seen") <= F.col("arrived")) & (F.col("gone").isNull() | (F.col("arrived") < F.col("gone"))), F.lit(False))
         new = s.write(probed.withColumn("live", live), "references")
+        s.drop(came_in)
         settled, orphans = new.filter("live"), new.filter("not live")
         # references that settled earlier and whose parent turns out to be deleted
         gone = broadcast_if_small(index.filter("is_gone").select("key", F.col("gone").alias("now_gone"))) if self.settled else None

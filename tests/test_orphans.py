@@ -62,6 +62,17 @@ def test_snapshots_do_not_depend_on_steps(spark):
     assert dict((r[1], r[3]) for r in one).items() >= {r[1]: r[3] for r in many if r[1] in {x[1] for x in one}}.items()
 
 
+def test_fields_filled_later_keep_the_first_arrival(spark):
+    refs = [("a", None, "v", T(1), "y"), ("A ", "v", None, T(50), "y"), ("a", "late", "v", T(90), "y"), ("b", " ", None, T(95), "y"), ("b", "v", None, T(96), "y"), ("c", None, None, T(0), "y")]
+    parents = spark.createDataFrame([("v", T(30), None, "x"), ("end", T(100), None, "x")], PAR)
+    rows = [reference_rows(spark.createDataFrame(refs, REF), "r", ["from_id", "to_id"])], [parent_rows(parents)]
+    one, many = track(*rows, 1), track(*rows, 4)
+    for t in (one, many):
+        assert sorted((r["ref_id"], r["ref_field"]) for r in t.found().collect()) == [("a", "from_id"), ("a", "to_id")]
+    counts = lambda t: {tuple(r)[1:] for r in t.monthly().collect() if r["n_arrived"]}
+    assert counts(one) == counts(many) == {("2025-01", 2, 0)}
+
+
 def test_empty_tables(spark):
     refs, parents = spark.createDataFrame([], REF), spark.createDataFrame([], PAR)
     t = track([reference_rows(refs, "r", ["from_id"])], [parent_rows(parents)])
