@@ -18,6 +18,7 @@ def queries() -> dict:
         "p1_found": lambda spark, d: find_roots(table(spark, d, "facts")),
         "p1_hierarchy": lambda spark, d: Hierarchy(table(spark, d, "facts")).nodes().select("fact_id", "root_id", "depth", "n_descendants", "in_cycle"),
         "p1_paths": lambda spark, d: Hierarchy(table(spark, d, "facts")).paths().selectExpr("fact_id", "array_join(path, '>') as path"),
+        "p1_descendants": lambda spark, d: Hierarchy(table(spark, d, "facts")).paths().selectExpr("explode(slice(path, 2, size(path))) as fact_id", "fact_id as descendant_id"),
         "p2_found": lambda spark, d: _tracked(spark, d).found(),
         "p2_monthly": lambda spark, d: _tracked(spark, d).monthly(),
         "p3_found": lambda spark, d: heavy_keys(table(spark, d, "relationships"), ["from_id", "to_id"]),
@@ -53,6 +54,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT n.id AS fact_id, coalesce(root, n.id) AS root_id, depth, n_descendants, in_cycle FROM (SELECT n.id, root, coalesce(len(path) - 1, 0) AS depth, coalesce(ring, false) AS in_cycle, coalesce(k, 0) AS n_descendants
             FROM n LEFT JOIN full_path USING (id) LEFT JOIN cnt ON cnt.a = n.id) n""",
         "p1_paths": f"""WITH RECURSIVE {_LINKS} SELECT n.id AS fact_id, coalesce(array_to_string(CASE WHEN list_contains(path, root) THEN path[:list_position(path, root)] ELSE path END, '>'), n.id) AS path FROM n LEFT JOIN f USING (id)""",
+        "p1_descendants": f"""WITH RECURSIVE {_LINKS} SELECT unnest((CASE WHEN list_contains(path, root) THEN path[:list_position(path, root)] ELSE path END)[2:]) AS fact_id, id AS descendant_id FROM f""",
         "p2_found": f"WITH {_REFS} SELECT ref_table, ref_id, ref_field FROM r WHERE NOT live",
         "p2_monthly": f"""WITH {_REFS}, ch AS (
             SELECT ref_table, t AS moved, 1 AS c FROM r WHERE NOT live

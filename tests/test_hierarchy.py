@@ -103,3 +103,14 @@ def test_uuid_ids_keep_their_text(spark):
     a, b = "0a0b0c0d-0000-4000-8000-0000000000ff", "ffffffff-0000-4000-8000-000000000001"
     rows = [(f" {a.upper()} ", b), (b, None)]
     assert [tuple(r) for r in find_roots(spark.createDataFrame(rows, "id string, superseded_by string")).collect()] == [(a, b)]
+
+
+def test_descendants_are_those_counted(spark, tmp_path):
+    from factloom.plans import records
+
+    rows = [("a", None), ("b", "A "), ("c", "b"), ("d", "a"), ("x", "y"), ("y", "x"), ("z", "y"), ("lone", "nowhere")]
+    spark.createDataFrame(rows, "id string, superseded_by string").write.parquet(str(tmp_path / "facts.parquet"))
+    got = [tuple(r) for r in records.queries()["p1_descendants"](spark, str(tmp_path)).select("fact_id", "descendant_id").collect()]
+    assert sorted(got) == [("a", "b"), ("a", "c"), ("a", "d"), ("b", "c"), ("x", "y"), ("x", "z"), ("y", "z")]
+    counts = {r["fact_id"]: r["n_descendants"] for r in records.queries()["p1_hierarchy"](spark, str(tmp_path)).collect()}
+    assert counts == {i: sum(a == i for a, _ in got) for i, _ in rows}
