@@ -1,7 +1,7 @@
 import random
 from itertools import combinations
 
-from factloom.llm.names import Forms, abbreviated, link, near_tokens, resolve, spellings, tokens
+from factloom.llm.names import LEAST, Form, abbreviates, link, near_tokens, one_edit, resolve, similarity, spellings, together, tokens, tokens_within
 from factloom.runtime import Scratch
 
 NICKS = [("Bob", "Robert"), ("Jo", "Joseph"), ("Jo", "Josephine"), ("Tony", "Anthony"), ("Dan", "Daniel"), ("X", None)]
@@ -51,11 +51,42 @@ def test_a_slip_is_decided_in_its_graph(spark):
         assert want <= got and (rows is teams or got == want), got
 
 
+def form(words, weights=None, given=None, named=(), letters=(), short=(), whole="", person=True, business=False):
+    return Form(words, weights or [1.0] * len(words), [(given or {}).get(w, []) for w in words], [w in named for w in words], list(letters), list(short), whole or "".join(words), person, business)
+
+
 def test_parts():
-    assert tokens("ThaskoryServicesFoundation") == ["thaskory", "services", "foundation"] and tokens("O'Brien, Séan ") == ["obrien", "sean"]
-    assert abbreviated("mgmt") == ["management"] and "documentation" in abbreviated("docs") and abbreviated("zz") == []
-    f = Forms([("Bob", "Robert")])
-    assert ("full", "goandula robert", 0.9) in [(c, k, round(s, 9)) for c, k, s in f.of(["bob", "goandula"], [("bob", 1.0), ("goandula", 0.0)], ["Person"])]
+    assert tokens("ThaskoryServicesFoundation") == ["thaskory", "services", "foundation"] and tokens("O'Brien, Séan ") == ["obrien", "sean"] and tokens("B.L.S.") == ["bls"]
+    assert abbreviates("mgmt", "management") and abbreviates("docs", "documentation") > abbreviates("dcmn", "documentation") > 0 == abbreviates("zz", "management") and not abbreviates("manage", "managed")
+    assert one_edit("anna", "anan") and one_edit("anna", "ana") and one_edit("ana", "anna") and one_edit("ana", "anb") and not one_edit("ana", "ana") and not one_edit("abcd", "badc")
+    bob, robert = form(["bob", "goandula"], [1.0, 3.0], {"bob": ["robert"]}), form(["goandula", "robert"], [3.0, 1.0], named=["robert"])
+    assert abs(similarity(bob, robert)[0] - (3 + 0.9 + 3 + 0.9) / 8) < 1e-9 and similarity(bob, robert)[1]
+    assert similarity(form(["goandula"], letters=["r"]), robert)[0] > similarity(form(["goandula"]), robert)[0] > 0 == similarity(form(["goandula"], letters=["x"]), robert)[0]
+    # sharing the rare word makes similar, sharing the common one does not
+    assert similarity(form(["rare"], [9.0]), form(["rare", "usual"], [9.0, 2.0]))[0] > LEAST > similarity(form(["usual"], [2.0]), form(["rare", "usual"], [9.0, 2.0]))[0]
+    assert similarity(form(["a1", "rare"]), form(["b1", "rare"]))[0] == 0
+    assert together("goandularobert", robert.words, robert) and together("rgoandula", robert.words, robert)["robert"] < 0.9 and together("xgoandula", robert.words, robert) is None
+    # nothing depends on the number of words: long names are compared as short ones
+    many = [f"word{k:02d}" for k in range(40)]
+    assert similarity(form([*many, "mgmt"], person=False, business=True), form([*many, "management"], person=False, business=True))[1]
+
+
+def test_names_of_many_words(spark):
+    many = " ".join(f"{c}ampo{c}er" for c in "bcdfghklmnprst")
+    made = [("g", f"{many} Management", "Company"), ("g", f"{many} Mgmt", "Company"), ("g", f"Management {many} Inc", "Company"), ("g", "Campocer Zander", "Company")]
+    df = spark.createDataFrame(made, "graph_name string, name string, kind string")
+    got = {tuple(r)[1:] for r in link(resolve(spellings(df), spark.createDataFrame([], "nick string, given_name string"))).collect()}
+    assert got == {(a, b) for a in (n for _, n, _ in made[:3]) for b in (n for _, n, _ in made[:3]) if a < b}
+
+
+def test_tokens_within_against_brute_force(spark):
+    r = random.Random(5)
+    words = sorted({"".join(r.choice("abc") for _ in range(r.randrange(3, 9))) for _ in range(120)})
+    df = spark.createDataFrame([("g", w) for w in words], "graph_name string, token string")
+    grams = lambda w: {w[k : k + 3] for k in range(len(w) - 2)}
+    for share in (0.6, 1.0):
+        got = {(x["whole"], x["token"]) for x in tokens_within(df, df.withColumnRenamed("token", "whole"), share).collect()}
+        assert got == {(w, t) for w in words for t in words if len(w) > max(3, len(t)) and len(grams(w) & grams(t)) >= share * len(grams(t))}
 
 
 def test_empty(spark):
