@@ -9,6 +9,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,6 +70,17 @@ def ship(spark: SparkSession) -> None:
         _shipped.add(app)
 
 
+def ship_file(spark: SparkSession, path: str) -> str:
+    """Hands a file that the driver can read to all executors; the name by which `shipped` finds it there."""
+    spark.sparkContext.addFile(path)
+    return path.rstrip("/").rsplit("/", 1)[-1]
+
+
+def shipped(name: str) -> str:
+    """Where a task finds a file of `ship_file`."""
+    return SparkFiles.get(name)
+
+
 def _delete_at_exit(spark: SparkSession, folder: str) -> None:
     """Deletes the application's scratch folder when the driver ends; results that are still read then are none."""
 
