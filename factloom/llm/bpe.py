@@ -23,7 +23,8 @@ KNOWN_WORDS = 300_000
 #: Only shorter words are kept.
 KNOWN_LENGTH = 64
 
-#: Longer words (in bytes) are merged one pair at a time from a heap: their rounds would take the square of their length.
+#: Longer words (in bytes) are merged one pair at a time from a heap, to the same ids: a word has about as many rounds as it has
+#: different pairs, so that rounds take the square of its length (64 KB of random letters: 20 s in rounds, 0.2 s from the heap).
 HEAP_BYTES = 4096
 
 NEVER = np.int64(1) << 40

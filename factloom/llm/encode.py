@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from factloom.llm import bpe
-from factloom.runtime import ship
+from factloom.runtime import ship, ship_file, shipped
 
 #: Characters encoded at a time, so that memory does not depend on the batch; a longer text is a batch of its own.
 BATCH_CHARS = 2_000_000
@@ -31,11 +31,11 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | N
 
     Empty and null texts give an empty list. Rows come out as often as they go in; other columns are not read.
     """
-    path = path or bpe.default_path()
+    file = ship_file(df.sparkSession, path or bpe.default_path())
     ship(df.sparkSession)
 
     def run(batches):
-        model = bpe.load(path)
+        model = bpe.load(shipped(file))
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in chunks([len(t or "") for t in texts]):

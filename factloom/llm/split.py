@@ -1,7 +1,8 @@
 """Splitting oversized texts at natural boundaries, with a stated overlap.
 
 The least number of pieces is computed and equal-length targets are placed; each target is moved to the strongest boundary
-nearby; every piece is encoded again, and while one is over the limit the text is cut anew into one piece more.
+nearby, or, where there is none, to the strongest one that leaves the other pieces room; what a piece's ends change of its
+tokens is encoded again, and while a piece is over the limit the text is cut anew into one piece more. The boundaries of a text are found once, all together.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm import bpe
 from factloom.llm.encode import chunks
-from factloom.runtime import ship
+from factloom.runtime import ship, ship_file, shipped
 
 LIMIT = 1024
 OVERLAP = 64
@@ -28,34 +29,49 @@ SLICE = 32
 
 #: Strengths, strongest first.
 KINDS = ("paragraph", "line", "sentence", "clause", "space", "none")
-_space = regex.compile(r"\s+")
-_sentence_end = regex.compile(r"""[.!?…。！？]["'”’»)\]]*$""")
-_clause_end = regex.compile(r"[,;:，；：、]$")
+NONE = KINDS.index("none")
+_space = regex.compile(r"\s")
+
+
+def _marks(chars: str) -> np.ndarray:
+    out = np.zeros(0x110000, bool)
+    out[[ord(c) for c in chars]] = True
+    return out
+
+
+#: Whether a code point is white space (none is beyond U+3000), or one of the fixed values given.
+_SPACES = _marks("".join(chr(c) for c in range(0x3001) if _space.match(chr(c))))
+_BREAKS = _marks("\n\r\x0b\x0c\x85\u2028\u2029")
+_STOPS, _CLOSERS, _WIDE_STOPS, _PAUSES, _WIDE_PAUSES = map(_marks, (".!?…。！？", "\"'”’»)]", "。！？", ",;:，；：、", "，；、"))
+
+
+def strengths(text: str, at: np.ndarray) -> np.ndarray:
+    """Strength of a cut before text[p] for each p of `at`, as an index of KINDS.
+
+    White space on either side of a cut counts as before it, but line breaks only if they are; a cut inside of a line break is none.
+    """
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    n, place = len(code), np.arange(len(code))
+    space, closes = _SPACES[code], _CLOSERS[code]
+    # where the white space before a place begins, and the last character before a place that closes no bracket or quote
+    begins = np.append(0, np.maximum.accumulate(np.where(space, -1, place)) + 1)
+    inner = np.append(-1, np.maximum.accumulate(np.where(closes, -1, place)))
+    ends_line = _BREAKS[code]
+    ends_line[:-1] &= (code[:-1] != 13) | (code[1:] != 10)
+    breaks = np.append(0, np.cumsum(ends_line))
+    begin = begins[at]
+    gap = (begin < at) | np.append(space, False)[at]
+    lines = breaks[at] - breaks[begin]
+    last = code[np.maximum(begin - 1, 0)] if n else code
+    stop = code[np.maximum(inner[begin], 0)]
+    sentence = (gap & (inner[begin] >= 0) & _STOPS[stop]) | _WIDE_STOPS[last]
+    clause = (gap & _PAUSES[last]) | _WIDE_PAUSES[last]
+    return np.select([lines >= 2, lines == 1, sentence, clause, gap], [0, 1, 2, 3, 4], 5)
 
 
 def boundary(text: str, at: int) -> int:
-    """Strength of a cut before text[at], as an index of KINDS; white space on either side of it counts as before it."""
-    a = at
-    while a and text[a - 1].isspace() and at - a < 100:
-        a -= 1
-    m = _space.match(text, at, min(len(text), at + 100))
-    gap = text[a : m.end() if m else at]
-    lines = len(regex.findall(r"\r\n|[\n\r\x0b\x0c\x85  ]", gap))
-    # a cut in the middle of white space that goes on with a line break is weaker than one behind the break
-    if m and a < at and lines:
-        lines = min(lines, len(regex.findall(r"\r\n|[\n\r\x0b\x0c\x85  ]", text[a:at])))
-    elif m and lines:
-        lines = 0
-    if lines >= 2:
-        return 0
-    if lines == 1:
-        return 1
-    before = text[max(0, a - 8) : a]
-    if gap and _sentence_end.search(before) or before[-1:] in ("。", "！", "？"):
-        return 2
-    if gap and _clause_end.search(before) or before[-1:] in ("，", "；", "、"):
-        return 3
-    return 4 if gap else 5
+    """Strength of one cut."""
+    return int(strengths(text, np.array([at]))[0])
 
 
 def _joined(w: str, c: int) -> bool:
@@ -95,44 +111,80 @@ def _units(words: list[str], n: np.ndarray, model: bpe.Bpe, limit: int) -> tuple
 def pieces(text: str, words: list[str], n: np.ndarray, model: bpe.Bpe, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int, int, str]]:
     """(start, end, tokens, tokens shared with the piece before, kind of the boundary at the end) of each piece, in characters."""
     ends, counts = _units(words, n, model, limit)
+    words_of = [text[a:b] for a, b in zip([0, *ends], ends)] if len(ends) > len(words) else words
     total = np.cumsum(counts)
     size, m = int(total[-1]), len(ends)
-    before = lambda u: int(total[u - 1]) if u else 0
-    where = lambda u: int(ends[u - 1]) if u else 0
+    before = np.append(0, total)  # tokens before unit u
+    where = np.append(0, ends)
+    strength = strengths(text, where[:-1])
     count = max(2, -(-(size - overlap) // (limit - overlap)))
-    strength: dict[int, int] = {}
+
+    def strongest(lo: int, hi: int, target: float) -> int:
+        own = strength[lo : hi + 1]
+        near = lo + np.flatnonzero(own == own.min())
+        return int(near[np.argmin(np.abs(before[near] - target))])
+
+    word_ends = np.append(0, np.cumsum([len(w) for w in words]))
+    at_word = np.minimum(np.searchsorted(word_ends, where), len(words))
+    whole, exact = word_ends[at_word] == where, np.append(0, np.cumsum(n))[at_word]
+
+    def tokens_of(spans: list[tuple[int, int]]) -> np.ndarray:
+        """Tokens of unit ranges. Between ends of words only white space at the end of a range is cut into other words than in the text."""
+        out, again = np.zeros(len(spans), np.int64), []
+        for k, (a, b) in enumerate(spans):
+            c = b
+            while c > a and words_of[c - 1].isspace():
+                c -= 1
+            if not (whole[a] and whole[b] and c > a):
+                again.append((k, text[where[a] : where[b]]))
+            else:
+                out[k] = exact[c] - exact[a]
+                if c < b:
+                    again.append((k, text[where[c] : where[b]]))
+        if again:
+            np.add.at(out, [k for k, _ in again], model.counts([t for _, t in again]))
+        return out
+
     while True:
         step = (size - overlap) / count
         reach = REACH * (step + overlap)
-        cuts = []
+        cuts: list[int] = []
         for k in range(1, count):
             target = k * step + overlap
+            last = cuts[-1] if cuts else 0
             lo, hi = np.searchsorted(total, [target - reach, target + reach])
-            lo = max(int(lo) + 1, (cuts[-1] if cuts else 0) + 1)
-            near = range(lo, min(int(hi) + 1, m - 1) + 1)
-            if not near:
-                near = [min(max(int(np.searchsorted(total, target)), (cuts[-1] if cuts else 0) + 1), m - 1)]
-            for u in near:
-                if u not in strength:
-                    strength[u] = boundary(text, where(u))
-            cuts.append(min(near, key=lambda u: (strength[u], abs(before(u) - target))))
+            lo, hi = max(int(lo) + 1, last + 1), min(int(hi) + 1, m - 1)
+            if lo <= hi:
+                cut = strongest(lo, hi, target)
+            else:
+                cut = min(max(int(np.searchsorted(total, target)), last + 1), m - 1)
+            if strength[cut] == NONE:  # anywhere that leaves the pieces on both sides room
+                least, most = size - (count - k) * (limit - overlap) - overlap, before[last] + limit - (overlap if last else 0)
+                lo, hi = max(int(np.searchsorted(before, least)), last + 1), min(int(np.searchsorted(before, most, "right")) - 1, m - 1)
+                if lo <= hi and strength[lo : hi + 1].min() < NONE:
+                    cut = strongest(lo, hi, target)
+            cuts.append(cut)
         cuts = sorted({c for c in cuts if 0 < c < m})
         starts = [0]
         for c, former in zip(cuts, [0, *cuts]):
-            u = int(np.searchsorted(total, before(c) - overlap)) + 1  # the first unit whose piece shares at most `overlap` tokens
-            if u and before(u) < before(c) - overlap:
+            u = int(np.searchsorted(total, before[c] - overlap)) + 1  # the first unit whose piece shares at most `overlap` tokens
+            if u and before[u] < before[c] - overlap:
                 u += 1
             starts.append(min(max(u, former + 1), c))
         # what slices of words share is encoded anew, so it may come out longer than their sum
         for k, c in enumerate(cuts, 1):
-            while starts[k] < c and model.counts([text[where(starts[k]) : where(c)]])[0] > overlap:
+            while starts[k] < c and tokens_of([(starts[k], c)])[0] > overlap:
                 starts[k] += 1
-        spans = [(where(a), where(b)) for a, b in zip(starts, [*cuts, m])]
-        tokens = model.counts([text[a:b] for a, b in spans])
-        if (tokens <= limit).all() or count > m:
-            shared = model.counts([text[b0:a1] for (_, a1), (b0, _) in zip(spans, spans[1:])]) if len(spans) > 1 else []
+        if count > m:  # every unit is a piece, which leaves no room for an overlap
+            starts = [0, *cuts]
+        spans = list(zip(starts, [*cuts, m]))
+        tokens = tokens_of(spans)
+        if (tokens <= limit).all():
+            shared = tokens_of(list(zip(starts[1:], cuts)))
             kinds = [*(KINDS[strength[c]] for c in cuts), "end"]
-            return [(a, b, int(t), int(v), k) for (a, b), t, v, k in zip(spans, tokens, [0, *shared], kinds)]
+            return [(int(where[a]), int(where[b]), int(t), int(v), k) for (a, b), t, v, k in zip(spans, tokens, [0, *shared], kinds)]
+        if count > m:
+            raise ValueError(f"a single character has more than {limit} tokens")
         count += 1
 
 
@@ -141,14 +193,17 @@ def split(df: DataFrame, key: str = "doc_id", text: str = "text", limit: int = L
 
     start and stop count code points; n_shared is the number of tokens that a piece shares with the piece before, at most
     `overlap`, in whole words (of words longer than the overlap none, or slices). No piece has more than `limit` tokens.
-    Texts within the limit, null texts and empty texts give no rows. Rows come out as often as they go in.
+    Texts within the limit, null texts and empty texts give no rows. Rows come out as often as they go in. A limit below four
+    tokens, which one character may have, or not above the overlap is refused.
     """
-    path = path or bpe.default_path()
+    if limit < 4 or not 0 <= overlap < limit:
+        raise ValueError("the limit must be at least 4 and above the overlap")
+    file = ship_file(df.sparkSession, path or bpe.default_path())
     ship(df.sparkSession)
     names = ["key", "piece", "n_pieces", "start", "stop", "n_tokens", "n_shared", "boundary", *(["text"] if with_text else [])]
 
     def run(batches):
-        model = bpe.load(path)
+        model = bpe.load(shipped(file))
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in chunks([len(t or "") for t in texts]):

@@ -49,3 +49,31 @@ def test_rows(spark):
     assert len(one) == 2 * one[0]["n_pieces"] and all(r["text"] == long[r["start"]:r["stop"]] and r["n_tokens"] <= 1024 for r in one)
     assert split(df.filter("false")).count() == 0
     assert "text" not in split(df, with_text=False).columns
+
+
+def test_cut_beside_an_unbroken_run():
+    prose = "".join(f"word{k % 7} next{k % 5} other. " for k in range(60))
+    run = "".join(random.Random(2).choice("0123456789abcdef") for _ in range(2000))
+    t = prose + run + " " + prose
+    assert 1024 < MODEL.counts([t])[0]
+    got = cut(t, 1024, 0)
+    assert len(got) == 2 and got[0][4] != "none"
+
+
+def test_long_white_space_counts_whole():
+    assert boundary("ab" + " " * 500 + "\n" + " " * 500 + "\n" + " " * 500 + "cd", 1504) == 0
+    assert boundary("ab\r\ncd", 3) == 4 and boundary("ab\r\ncd", 4) == 1 and boundary('ab."""""""""""" cd', 16) == 2 and boundary("中。文", 2) == 2
+
+
+def test_tiny_limits():
+    for t in ("\U0001f469" * 9, "a b c d e f g h i j", "日本語テキスト"):
+        for limit, overlap in ((4, 0), (4, 3), (5, 2)):
+            if MODEL.counts([t])[0] > limit:
+                got = cut(t, limit, overlap)
+                assert all(n <= limit for _, _, n, _, _ in got) and got[0][0] == 0 and got[-1][1] == len(t) and all(b >= a2 for (_, b, *_), (a2, *_) in zip(got, got[1:]))
+    for limit, overlap in ((3, 0), (8, 8)):
+        try:
+            split(None, limit=limit, overlap=overlap)
+            raise AssertionError
+        except ValueError:
+            pass
