@@ -82,5 +82,9 @@ def oracle_sql() -> dict[str, str]:
         "p6_found": f"WITH {_FORM} SELECT first_id, record_id AS copy_id FROM g WHERE record_id != first_id",
         "p6_records": f"WITH {_FORM} SELECT record_id, raw AS name, n AS n_copies FROM g WHERE record_id = first_id",
         "p8_found": f"WITH {_GRAMS} SELECT doc_id, item_id FROM found",
+        "p8_spans": f"""WITH {_GRAMS}, q AS (SELECT k, id, pos, array_to_string(list_slice(ws, pos, pos + 11), ' ') AS gram FROM p), m AS (SELECT d.id AS doc_id, i.id AS item_id, d.pos AS dp, i.pos AS ip FROM q d JOIN q i ON d.gram = i.gram WHERE d.k = 'd' AND i.k = 'i'),
+            o AS (SELECT *, dp - ip AS diagonal, dp - row_number() OVER (PARTITION BY doc_id, item_id, dp - ip ORDER BY dp) AS run FROM m),
+            r AS (SELECT doc_id, item_id, min(dp) - 1 AS doc_word, min(ip) - 1 AS item_word, count(*) + 11 AS n_words FROM o GROUP BY doc_id, item_id, diagonal, run)
+            SELECT DISTINCT ON (doc_id, item_id) doc_id, item_id, doc_word, item_word, n_words FROM r ORDER BY doc_id, item_id, n_words DESC, doc_word, item_word""",
         "p8_items": f"WITH {_GRAMS} SELECT item_id, suite, split, count(*) AS n_docs FROM found JOIN eval_items USING (item_id) GROUP BY ALL",
     }

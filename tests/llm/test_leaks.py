@@ -1,6 +1,6 @@
 import random
 
-from factloom.llm.leaks import SPAN, fingerprints, leaks, words
+from factloom.llm.leaks import SPAN, Automaton, fingerprints, leaks, words
 
 
 def brute(docs, items, span=SPAN):
@@ -37,6 +37,27 @@ def test_every_window_keeps_one():
     assert len(fingerprints("one two three")[0]) == 0 and len(fingerprints(None)[0]) == 0
 
 
+def test_automaton_against_brute_force():
+    r = random.Random(3)
+    for _ in range(300):
+        a, b = ([r.choice("xyz") for _ in range(r.randrange(0, 25))] for _ in range(2))
+        best = (0, 0, 0)
+        for i in range(len(a)):
+            for j in range(len(b)):
+                n = 0
+                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                    n += 1
+                best = max(best, (n, -i, -j)) if n else best
+        assert Automaton(b).longest(a) == (best[0], -best[1], -best[2])
+
+
+def test_repeated_word_meets_repeated_word(spark):
+    docs = spark.createDataFrame([(1, "same " * 200_000), (2, "same " * 11), (3, "unlike " * 12), (3, "same " * 40)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "same " * 30_000), (1, "other " * 50), (2, "same " * 12)], "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]): (x["doc_word"], x["item_word"], x["n_words"]) for x in leaks(docs, items).collect()}
+    assert got == {(1, 1): (0, 0, 30_000), (1, 2): (0, 0, 12), (3, 1): (0, 0, 40), (3, 2): (0, 0, 12)}
+
+
 def test_empty_tables(spark):
     docs, items = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert leaks(docs, items).count() == 0
