@@ -12,7 +12,9 @@ from __future__ import annotations
 import os
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +23,9 @@ from factloom.runtime import Scratch, broadcast_if_small, ship
 #: Bytes by which a bucket is split further, and leaders a bucket may hold.
 STEP = 2
 BUCKET = 20_000
-#: Forms a task remembers before it starts anew.
+#: Rows, and their bytes, that a task folds together.
 TABLE = 100_000
+TABLE_BYTES = 64 << 20
 #: Bytes of a form per trie level.
 STRIDE = 8
 
@@ -47,73 +50,88 @@ def canonical_form(df: DataFrame) -> Column:
 
 
 def _fold(batches):
-    """(form, id, leader, n): a task's first record of a form with its number of copies; of others only the link."""
-    table: dict[bytes, list[int]] = {}
-
-    def leaders():
-        return pa.RecordBatch.from_arrays([pa.array(list(table), pa.binary()), *(pa.array(c, pa.int64()) for c in zip(*((v[0], v[0], v[1]) for v in table.values())))], ["form", "id", "leader", "n"])
-
+    """(form, id, leader, n): of every TABLE rows of a task the first record of a form with its number of copies; of others only the link."""
+
+    def folded(rows: list[pa.RecordBatch]):
+        t = pa.Table.from_batches(rows).combine_chunks()
+        form, ids = t.column(0).combine_chunks(), t.column(1).to_numpy()
+        coded = form.dictionary_encode()
+        code = coded.indices.to_numpy()
+        first = np.full(len(coded.dictionary), len(code), np.int64)
+        np.minimum.at(first, code, np.arange(len(code)))
+        leader = ids[first]
+        yield pa.RecordBatch.from_arrays([coded.dictionary, pa.array(leader), pa.array(leader), pa.array(np.bincount(code, minlength=len(first)))], ["form", "id", "leader", "n"])
+        copy = first[code] != np.arange(len(code))
+        if copy.any():
+            k = int(copy.sum())
+            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.binary()), pa.array(ids[copy]), pa.array(leader[code[copy]]), pa.nulls(k, pa.int64())], ["form", "id", "leader", "n"])
+
+    rows, n, size = [], 0, 0
     for batch in batches:
-        ids, of = [], []
-        for form, i in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            v = table.get(form)
-            if v is None:
-                table[form] = [i, 1]
-            else:
-                v[1] += 1
-                ids.append(i)
-                of.append(v[0])
-        if ids:
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(ids), pa.binary()), pa.array(ids, pa.int64()), pa.array(of, pa.int64()), pa.nulls(len(ids), pa.int64())], ["form", "id", "leader", "n"])
-        if len(table) > TABLE:
-            yield leaders()
-            table.clear()
-    if table:
-        yield leaders()
+        rows.append(batch)
+        n, size = n + batch.num_rows, size + batch.nbytes
+        if n >= TABLE or size >= TABLE_BYTES:
+            yield from folded(rows)
+            rows, n, size = [], 0, 0
+    if n:
+        yield from folded(rows)
 
 
 class Trie:
-    """Forms by STRIDE bytes a level; a form's end holds its leaders, copies and smallest id."""
+    """Forms by STRIDE bytes a level; a form's end holds the place of its counters: copies and smallest id."""
 
     def __init__(self):
         self.root: dict = {}
+        self.n: list[int] = []
+        self.least: list[int] = []
 
-    def add(self, form: bytes, leader: int, n: int, least: int) -> None:
+    def add(self, form: bytes, n: int, least: int) -> int:
+        """Adds copies of a form; the place of its counters."""
         node = self.root
         for k in range(0, len(form), STRIDE):
             node = node.setdefault(form[k : k + STRIDE], {})
-        end = node.setdefault(b"", [[], 0, least])
-        end[0].append(leader)
-        end[1] += n
-        end[2] = min(end[2], least)
-
-    def ends(self):
-        stack = [self.root]
-        while stack:
-            for k, v in stack.pop().items():
-                if k:
-                    stack.append(v)
-                else:
-                    yield v
+        at = node.setdefault(b"", len(self.n))
+        if at == len(self.n):
+            self.n.append(n)
+            self.least.append(least)
+        else:
+            self.n[at] += n
+            self.least[at] = min(self.least[at], least)
+        return at
 
 
 def _count(batches):
-    """(leader, first, n) of rows sorted by bucket: one trie at a time."""
-
-    def out(trie):
-        rows = [(leader, least, n) for leaders, n, least in trie.ends() for leader in leaders]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["leader", "first", "n"])
+    """(leader, first, n) of (bucket, form, leader, n, least) rows sorted by bucket: one trie at a time, each different form of a batch added once."""
+    trie, held, bucket = Trie(), [], None
+
+    def flush():
+        nonlocal trie, held
+        if held:
+            leader, at = (np.concatenate(c) for c in zip(*held))
+            yield pa.RecordBatch.from_arrays([pa.array(leader), pa.array(np.array(trie.least, np.int64)[at]), pa.array(np.array(trie.n, np.int64)[at])], ["leader", "first", "n"])
+        trie, held = Trie(), []
+
+    def add(part: pa.RecordBatch):
+        coded = part.column(1).dictionary_encode()
+        code = coded.indices.to_numpy()
+        n = np.bincount(code, part.column(3).to_numpy(), len(coded.dictionary)).astype(np.int64)
+        least = np.full(len(n), np.iinfo(np.int64).max)
+        np.minimum.at(least, code, part.column(4).to_numpy())
+        places = np.array([trie.add(*x) for x in zip(coded.dictionary.to_pylist(), n.tolist(), least.tolist())], np.int64)
+        held.append((part.column(2).to_numpy(), places[code]))
 
-    trie, bucket = Trie(), None
     for batch in batches:
-        for b, form, leader, n, least in zip(*(c.to_pylist() for c in batch.columns)):
-            if b != bucket:
-                if bucket is not None:
-                    yield out(trie)
-                trie, bucket = Trie(), b
-            trie.add(form, leader, n, least)
-    if bucket is not None:
-        yield out(trie)
+        last = batch.column(0)[batch.num_rows - 1] if batch.num_rows else None
+        if last is None:
+            continue
+        begins = pc.index(batch.column(0), last).as_py()  # all buckets before the batch's last one are complete
+        if begins:
+            add(batch.slice(0, begins))
+        if begins or last != bucket:
+            yield from flush()
+        add(batch.slice(begins))
+        bucket = last
+    yield from flush()
 
 
 def _reach(batches):

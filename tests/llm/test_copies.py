@@ -50,6 +50,5 @@ def test_empty_and_trie(spark):
     empty = Copies(spark.createDataFrame([], SCHEMA))
     assert empty.pairs().count() == 0 and empty.records().count() == 0
     t = Trie()
-    for k, f in enumerate([b"", b"abc", b"abcdefgh", b"abcdefghi", b"abc"]):
-        t.add(f, k, 1, k)
-    assert sorted((sorted(a), n, m) for a, n, m in t.ends()) == [([0], 1, 0), ([1, 4], 2, 1), ([2], 1, 2), ([3], 1, 3)]
+    places = [t.add(f, n, k) for k, (f, n) in enumerate([(b"", 1), (b"abc", 1), (b"abcdefgh", 1), (b"abcdefghi", 1), (b"abc", 3)])]
+    assert places == [0, 1, 2, 3, 1] and t.n == [1, 4, 1, 1] and t.least == [0, 1, 2, 3]
