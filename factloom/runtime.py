@@ -96,6 +96,46 @@ def _delete_at_exit(spark: SparkSession, folder: str) -> None:
         atexit.register(delete)
 
 
+class Files:
+    """Small files and folders of the file system that a folder is on."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        jvm = spark.sparkContext._jvm
+        self.root, self._path = root.rstrip("/"), jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def path(self, name: str = "") -> str:
+        return f"{self.root}/{name}" if name else self.root
+
+    def exists(self, name: str = "") -> bool:
+        return self._fs.exists(self._path(self.path(name)))
+
+    def make(self, name: str = "") -> None:
+        self._fs.mkdirs(self._path(self.path(name)))
+
+    def names(self, name: str = "") -> list[str]:
+        """Names in a folder, in order; none if there is no such folder."""
+        at = self._path(self.path(name))
+        return sorted(f.getPath().getName() for f in self._fs.listStatus(at)) if self._fs.exists(at) else []
+
+    def read(self, name: str) -> str:
+        stream = self._fs.open(self._path(self.path(name)))
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def put(self, name: str, text: str) -> bool:
+        """Writes a file that is seen whole or not at all; False if it was there already."""
+        stream = self._fs.create(self._path(self.path(name) + ".tmp"), True)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        return not self.exists(name) and self._fs.rename(self._path(self.path(name) + ".tmp"), self._path(self.path(name)))
+
+    def delete(self, name: str) -> None:
+        self._fs.delete(self._path(self.path(name)), True)
+
+
 class Scratch:
     """Tables written to the shared folder. They cut lineage and survive the loss of executors."""
 

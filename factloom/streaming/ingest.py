@@ -33,12 +33,13 @@ def ingest_entities(stream: DataFrame, store: GraphStore, types: list[str], chec
 def track_orphans(stream: DataFrame, tracker: OrphanTracker, checkpoint: str, **trigger):
     """Feeds a stream of (kind, id, from_id, to_id, ingested_at, deleted_at) rows, kind `parent` or `reference`, to a tracker.
 
-    The tracker's tables outlive a batch; a tracker is built anew from the source when its driver is lost.
+    A micro-batch is one step, committed with its number, so a batch that is delivered again is not taken twice. A tracker whose
+    state is kept in a folder goes on after its driver was lost: make it anew with that folder and start the stream again.
     """
 
     def step(batch: DataFrame, number: int) -> None:
         refs = reference_rows(batch.filter("kind = 'reference'"), "relationships", ["from_id", "to_id"])
-        tracker.advance(refs, parent_rows(batch.filter("kind = 'parent'")))
+        tracker.advance(refs, parent_rows(batch.filter("kind = 'parent'")), number)
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

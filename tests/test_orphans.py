@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 
+from factloom.operators import orphans
 from factloom.operators.orphans import OrphanTracker, parent_rows, reference_rows, track
 
 REF = "id string, from_id string, to_id string, ingested_at timestamp_ntz, key string"
@@ -73,6 +74,67 @@ def test_fields_filled_later_keep_the_first_arrival(spark):
     assert counts(one) == counts(many) == {("2025-01", 2, 0)}
 
 
+def cut(spark, refs, parents, parts, seed, tracker):
+    """Rows in steps of any order."""
+    r = random.Random(seed)
+    slot = lambda rows: [(r.randrange(parts), x) for x in rows]
+    a, b = slot(refs), slot(parents)
+    for k in range(parts):
+        yield k, reference_rows(spark.createDataFrame([x for i, x in a if i == k], REF), "r", ["from_id", "to_id"]), parent_rows(spark.createDataFrame([x for i, x in b if i == k], PAR))
+
+
+def test_order_of_arrival_does_not_matter(spark, monkeypatch):
+    monkeypatch.setattr(orphans, "FOLD_STEPS", 2)
+    refs, parents = data(6, 60)
+    one = track([reference_rows(spark.createDataFrame(refs, REF), "r", ["from_id", "to_id"])], [parent_rows(spark.createDataFrame(parents, PAR))], 1)
+    tracker = OrphanTracker(spark)
+    for _, a, b in cut(spark, refs, parents, 4, 1, tracker):
+        tracker.advance(a, b)
+    rows = [(x["ref_id"], x["ref_field"]) for x in tracker.found().collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == brute(refs, parents)
+    assert sorted(map(tuple, tracker.monthly().collect())) == sorted(map(tuple, one.monthly().collect()))
+
+
+def test_a_parent_that_was_there_earlier_takes_the_orphan_back(spark):
+    t = OrphanTracker(spark)
+    none, no_ref = parent_rows(spark.createDataFrame([], PAR)), reference_rows(spark.createDataFrame([], REF), "r", ["from_id"])
+    t.advance(reference_rows(spark.createDataFrame([("a", "p", None, T(5), "k")], REF), "r", ["from_id"]), none)
+    assert t.found().count() == 1 and [tuple(r)[1:] for r in t.monthly().collect()] == [("2025-01", 1, 1)]
+    t.advance(no_ref, parent_rows(spark.createDataFrame([("p", T(1), None, "k")], PAR)))
+    assert t.found().count() == 0 and t.monthly().count() == 0
+
+
+def test_a_step_that_fails_or_comes_again_changes_nothing(spark, tmp_path, monkeypatch):
+    root, refs = f"file://{tmp_path}/state", reference_rows(spark.createDataFrame([("a", "p", None, T(5), "k"), ("b", "q", None, T(5), "k")], REF), "r", ["from_id"])
+    parents = parent_rows(spark.createDataFrame([("p", T(9), None, "k")], PAR))
+    empty = parent_rows(spark.createDataFrame([], PAR))
+    t = OrphanTracker(spark, root)
+    t.advance(refs, empty, 0)
+    before = sorted(map(tuple, t.monthly().collect()))
+    write = OrphanTracker._write
+
+    for failing in ("parents", "refs", "moves"):
+        def broken(self, df, name, *by):
+            if name == failing:
+                raise OSError("disk full")
+            return write(self, df, name, *by)
+
+        monkeypatch.setattr(OrphanTracker, "_write", broken)
+        try:
+            t.advance(refs, parents, 1)
+            raise AssertionError
+        except OSError:
+            pass
+        monkeypatch.setattr(OrphanTracker, "_write", write)
+        again = OrphanTracker(spark, root)  # another driver
+        assert sorted(map(tuple, again.monthly().collect())) == before and again.found().count() == 2
+    for _ in range(2):  # the batch is delivered twice
+        again = OrphanTracker(spark, root)
+        again.advance(refs, parents, 1)
+        assert [tuple(r)[1:] for r in again.monthly().collect()] == [("2025-01", 2, 1)] and again.found().count() == 2
+    assert again.state["step"] == 2
+
+
 def test_empty_tables(spark):
     refs, parents = spark.createDataFrame([], REF), spark.createDataFrame([], PAR)
     t = track([reference_rows(refs, "r", ["from_id"])], [parent_rows(parents)])
