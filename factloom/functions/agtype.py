@@ -80,3 +80,16 @@ def vertex_columns(c: Column) -> list[Column]:
     body = F.when(kind_column(c) == "vertex", body_column(c))
     fields = F.from_json(body, "id string, label string, properties map<string,string>")
     return [fields["id"].alias("id"), fields["label"].alias("label"), fields["properties"].alias("properties")]
+
+
+def edge_columns(c: Column) -> list[Column]:
+    """id, label, start_id, end_id and properties of edge texts; null where the text is no edge."""
+    body = F.when(kind_column(c) == "edge", body_column(c))
+    fields = F.from_json(body, "id string, label string, start_id string, end_id string, properties map<string,string>")
+    return [fields[n].alias(n) for n in ("id", "label", "start_id", "end_id", "properties")]
+
+
+def scalar_column(c: Column) -> Column:
+    """The text of a scalar: without its type mark, a JSON string without its quotes; null where the text is no scalar."""
+    body = F.when(kind_column(c) == "scalar", body_column(c))
+    return F.when(body.startswith('"'), F.get_json_object(F.concat(F.lit('{"x":'), body, F.lit("}")), "$.x")).otherwise(body)

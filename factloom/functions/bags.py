@@ -33,3 +33,8 @@ def flattened(bag: Column) -> Column:
 
 def from_json_text(c: Column) -> Column:
     return F.from_json(c, _EMPTY)
+
+
+def as_text(bag: Column) -> Column:
+    """key=value of each entry, in the order of the texts; null for null."""
+    return F.array_join(F.array_sort(F.transform(F.map_entries(bag), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";")

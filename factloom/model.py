@@ -59,16 +59,21 @@ def check_confidence(c) -> None:
         raise GraphError("Confidence must be between 0.0 and 1.0")
 
 
+def _whole(c: Column, pattern: str) -> Column:
+    """Whether a pattern matches to the very end; its $ alone would allow for a line break behind."""
+    return c.rlike(pattern.removesuffix("$") + r"\z")
+
+
 def is_identifier(c: Column) -> Column:
-    return c.rlike(IDENTIFIER)
+    return _whole(c, IDENTIFIER)
 
 
 def is_property_key(c: Column) -> Column:
-    return c.rlike(IDENTIFIER) | c.rlike(INTERNAL_KEY)
+    return _whole(c, IDENTIFIER) | _whole(c, INTERNAL_KEY)
 
 
 def is_uuid(c: Column) -> Column:
-    return c.rlike(UUID)
+    return _whole(c, UUID)
 
 
 def live(df):

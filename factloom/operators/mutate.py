@@ -63,7 +63,8 @@ def upsert_vertices(vertices: DataFrame, batch: DataFrame, at: Column | None = N
     """
     at = at if at is not None else now()
     folded = _folded(batch, ["label", "name"], ["confidence"]).withColumnsRenamed({"properties": "new", "confidence": "new_confidence"})
-    stored = live(vertices)
+    # only what the batch names is grouped and shuffled
+    stored = live(vertices).join(broadcast_if_small(batch.select("label", "name").distinct()), ["label", "name"], "left_semi")
     seq = F.col("seq") if "seq" in vertices.columns else F.lit(0)
     first = stored.groupBy("label", "name").agg(F.min_by(F.struct("id", "properties", "confidence", "created_at", seq.alias("seq")), F.struct(seq, "id")).alias("old"))
     both = folded.join(first, ["label", "name"], "left")
@@ -92,7 +93,8 @@ def upsert_edges(edges: DataFrame, batch: DataFrame, at: Column | None = None, n
     at = at if at is not None else now()
     keys = ["label", "start_id", "end_id"]
     folded = _folded(batch, keys, []).withColumnRenamed("properties", "new")
-    first = edges.groupBy(*keys).agg(F.min_by(F.struct("id", "properties", "created_at"), "id").alias("old"))
+    own = edges.join(broadcast_if_small(batch.select(*keys).distinct()), keys, "left_semi")  # only what the batch names is grouped and shuffled
+    first = own.groupBy(*keys).agg(F.min_by(F.struct("id", "properties", "created_at"), "id").alias("old"))
     both = folded.join(first, keys, "left")
     made = F.col("old").isNull()
     return both.select(
@@ -123,43 +125,62 @@ def transferred_edges(graph: Graph, pairs: DataFrame, at: Column | None = None,
     return one.select("label", (new_id if new_id is not None else F.uuid()).alias("id"), "start_id", "end_id", without(F.col("r.properties"), "id", "created_at", "updated_at").alias("properties"), at.alias("created_at"), F.lit(0).cast("long").alias("seq"))
 
 
+def merged_vertices(vertices: DataFrame, pairs: DataFrame, at: Column | None = None) -> DataFrame:
+    """Versions of survivors and merged vertices, for (surviving_id, merged_id) pairs whose survivors are not merged themselves.
+
+    A survivor keeps its own properties and takes those it lacks, of several merged vertices from the one with the smallest id;
+    merged_from names the one with the largest. Merged vertices are marked as deleted.
+    """
+    at = at if at is not None else now()
+    pairs = pairs.select("surviving_id", "merged_id").distinct()
+    ids = pairs.select(F.explode(F.array("surviving_id", "merged_id")).alias("id")).distinct()
+    own = vertices.join(broadcast_if_small(ids), "id", "left_semi")
+    lost = own.join(pairs.withColumnRenamed("merged_id", "id"), "id")
+    each = lost.select("surviving_id", F.col("id").alias("merged_id"), F.explode("properties").alias("k", "v"))
+    first = each.groupBy("surviving_id", "k").agg(F.min_by("v", "merged_id").alias("v"))
+    other = first.groupBy("surviving_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("other"))  # one entry a property name
+    last = lost.groupBy("surviving_id").agg(F.max("id").alias("last"))
+    kept = own.join(last.withColumnRenamed("surviving_id", "id"), "id").join(other.withColumnRenamed("surviving_id", "id"), "id", "left")
+    mark = F.create_map(F.lit("merged_from"), F.concat(F.lit('"'), "last", F.lit('"')))
+    kept = kept.withColumn("properties", merged(merged(F.col("other"), F.col("properties")), mark)).withColumn("updated_at", at)
+    gone = lost.withColumn("deleted", F.lit(True)).withColumn("deleted_at", at)
+    columns = [*vertices.columns, *(c for c in ("updated_at", "deleted_at") if c not in vertices.columns)]
+    shaped = lambda df: df.select(*(F.col(c) if c in df.columns else F.lit(None).cast("timestamp_ntz").alias(c) for c in columns))
+    return shaped(kept).unionByName(shaped(gone))
+
+
 def merge_vertices(graph: Graph, surviving_id: str, merged_id: str, at: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(vertex versions, new edges) of merging one vertex into another of the same type: the survivor's properties win."""
     at = at if at is not None else now()
-    spark = graph.vertices.sparkSession
-    pair = spark.range(1).select(F.lit(surviving_id).alias("surviving_id"), F.lit(merged_id).alias("merged_id"))
-    two = graph.vertices.filter(F.col("id").isin(surviving_id, merged_id))
-    lost = two.filter(F.col("id") == merged_id)
-    mark = F.create_map(F.lit("merged_from"), F.lit(f'"{merged_id}"'))
-    other = lost.select(F.lit(surviving_id).alias("id"), F.col("properties").alias("other"))
-    kept = two.filter(F.col("id") == surviving_id).join(other, "id", "left").withColumn("properties", merged(merged(F.col("other"), F.col("properties")), mark)).drop("other").withColumn("updated_at", at)
-    gone = lost.withColumn("deleted", F.lit(True)).withColumn("deleted_at", at)
-    return kept.select(*graph.vertices.columns).unionByName(gone.select(*graph.vertices.columns)), transferred_edges(graph, pair, at)
+    pair = graph.vertices.sparkSession.range(1).select(F.lit(surviving_id).alias("surviving_id"), F.lit(merged_id).alias("merged_id"))
+    return merged_vertices(graph.vertices, pair, at), transferred_edges(graph, pair, at)
 
 
-def superseding(graph: Graph, batch: DataFrame, at: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def superseding(graph: Graph, batch: DataFrame, at: Column | None = None, new_id: Column | None = None, made_id: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(vertex versions, edges, batch with new_id and old_id) of (ord, entity_id, new_fact, old_fact, source, confidence) rows that are already resolved.
 
     The old fact is the first live fact of the entity with that very content, replaced already or not; where there is none one
-    is made. One row per pair of an entity and a new fact is expected.
+    is made. One row per pair of an entity and a new fact is expected. new_id and made_id give the ids of new facts and of old ones that are made.
     """
     at = at if at is not None else now()
     quoted = lambda c: F.when(c.isNotNull(), json_text(c))
     bag = lambda content, source: F.map_filter(F.create_map(F.lit("content"), quoted(content), F.lit("source"), quoted(source)), lambda _, v: v.isNotNull())
     facts = live(graph.vertices).filter(F.col("label") == "Fact")
     seq = F.col("seq") if "seq" in facts.columns else F.lit(0)
-    linked = graph.edges.filter(F.col("label") == "RELATES_TO").select(F.col("start_id").alias("id"), F.col("end_id").alias("entity_id"))
+    asked = broadcast_if_small(batch.select("entity_id").distinct())
+    linked = graph.edges.filter(F.col("label") == "RELATES_TO").select(F.col("start_id").alias("id"), F.col("end_id").alias("entity_id")).join(asked, "entity_id", "left_semi")
     held = facts.join(linked, "id").select("entity_id", F.get_json_object(F.concat(F.lit('{"c":'), F.coalesce(F.col("properties")["content"], F.lit("null")), F.lit("}")), "$.c").alias("old_fact"), F.struct(seq.alias("s"), "id").alias("k"))
     first = held.groupBy("entity_id", "old_fact").agg(F.min("k").alias("k")).select("entity_id", "old_fact", F.col("k.id").alias("found"))
     wanted = F.col("old_fact").isNotNull() & (F.col("old_fact") != "")
-    drawn = batch.join(first, ["entity_id", "old_fact"], "left").withColumn("new_id", F.uuid()).withColumn("old_id", F.when(wanted, F.coalesce("found", F.uuid())))
+    drawn = batch.join(first, ["entity_id", "old_fact"], "left").withColumn("new_id", new_id if new_id is not None else F.uuid())
+    drawn = drawn.withColumn("old_id", F.when(wanted, F.coalesce("found", made_id if made_id is not None else F.uuid())))
     rows = Scratch(graph.vertices.sparkSession, "superseding").write(drawn)  # ids are drawn once, all tables are made from them
     vertex = lambda i, content, source, confidence, replaced, ord_: dict(label=F.lit("Fact"), id=i, name=F.substring(content, 1, FACT_NAME_LENGTH), properties=merged(bag(content, source), F.create_map(F.lit("_superseded"), F.lit("true")) if replaced else F.create_map().cast(_BAG)), created_at=at, confidence=confidence, deleted=F.lit(False), seq=ord_)
     shaped = lambda df, spec: df.select(*(c.alias(n) for n, c in spec.items()))
     null = F.lit(None)
     new = shaped(rows, vertex(F.col("new_id"), F.col("new_fact"), F.col("source"), F.col("confidence").cast("double"), False, F.col("ord").cast("long")))
     made = shaped(rows.filter(wanted & F.col("found").isNull()), vertex(F.col("old_id"), F.col("old_fact"), null.cast("string"), null.cast("double"), True, F.col("ord").cast("long")))
-    marked = graph.vertices.join(rows.filter("found is not null").select(F.col("found").alias("id")).distinct(), "id", "left_semi").withColumn("properties", merged(F.col("properties"), F.create_map(F.lit("_superseded"), F.lit("true"))))
+    marked = graph.vertices.join(broadcast_if_small(rows.filter("found is not null").select(F.col("found").alias("id")).distinct()), "id", "left_semi").withColumn("properties", merged(F.col("properties"), F.create_map(F.lit("_superseded"), F.lit("true")))).withColumn("seq", seq.cast("long"))
     columns = ["label", "id", "name", "properties", "created_at", "confidence", "deleted", "seq"]
     vertices = new.select(*columns).unionByName(made.select(*columns)).unionByName(marked.select(*columns))
     edge = lambda df, label, a, b, bag_: df.select(F.lit(label).alias("label"), F.uuid().alias("id"), F.col(a).alias("start_id"), F.col(b).alias("end_id"), bag_.alias("properties"), at.alias("created_at"), F.col("ord").cast("long").alias("seq"))

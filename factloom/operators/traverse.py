@@ -86,6 +86,12 @@ class Connections:
         self.relationships = kept.join(own.withColumnRenamed("id", "start_id"), "start_id", "left_semi").join(own.withColumnRenamed("id", "end_id"), "end_id", "left_semi")
 
 
+    def envelope(self, limit: int) -> DataFrame:
+        """(total_count, shown, truncated): how many entities were reached, and how many of them `limit` lets through."""
+        n = F.count(F.lit(1))
+        return self.entities.agg(n.alias("total_count"), F.least(n, F.lit(limit)).cast("long").alias("shown"), (n > limit).alias("truncated"))
+
+
 def returns(graph: Graph, anchor: str, depth: int) -> bool:
     """Whether a trail of at most `depth` edges leads from the anchor back to it: a loop, a parallel pair or a cycle.
 

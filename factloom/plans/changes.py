@@ -11,7 +11,7 @@ from factloom.operators import mermaid, mutate
 from factloom.operators.hierarchy import Hierarchy
 from factloom.plans.graph import _E, _ID, _ME, _MV, _V, MEMORY_LINKS, MEMORY_TYPES, TYPES
 from factloom.schema.markdown import reconcile
-from factloom.sources.graph import Graph, current_edges, current_vertices, memory_graph, star_graph
+from factloom.sources.graph import current_edges, memory_graph, star_graph
 from factloom.sources.tables import table
 
 def _at():
@@ -30,7 +30,7 @@ def _inputs(spark, d):
 
 
 def _upserted(spark, d):
-    v = current_vertices(table(spark, d, "entities")).withColumn("seq", F.lit(0))
+    v = memory_graph(spark, d).vertices.withColumn("seq", F.lit(0))
     good = mutate.vertex_errors(_inputs(spark, d), MEMORY_TYPES).filter("error is null").drop("error")
     return mutate.upsert_vertices(v, good, _at(), _new("label", "name"))
 
@@ -76,7 +76,7 @@ def queries() -> dict:
         "upsert_entities": lambda s, d: _upserted(s, d).select("id", "label", "name", "confidence", "created"),
         "upsert_entities_merge": _upsert_values,
         "upsert_edges_dedupe": _edges_upserted,
-        "soft_delete_filter": lambda s, d: mutate.soft_delete(current_vertices(table(s, d, "entities")), table(s, d, "merges").select(F.col("surviving_id").alias("id")), _at()).select("id", "label", "deleted", "deleted_at"),
+        "soft_delete_filter": lambda s, d: mutate.soft_delete(memory_graph(s, d).vertices, table(s, d, "merges").select(F.col("surviving_id").alias("id")), _at()).select("id", "label", "deleted", "deleted_at"),
         "merge_entities_transfer": lambda s, d: mutate.transferred_edges(memory_graph(s, d), _pairs(s, d), _at(), _new("start_id", "label", "end_id")).select("id", "label", "start_id", "end_id"),
         "bulk_resolve_references": _bulk,
         "fact_versions": star_fact_versions,
@@ -84,11 +84,12 @@ def queries() -> dict:
         "trigram_similarity": lambda s, d: _type_pairs(s, d).select("name_a", "name_b", F.round(similarity.similarity_column(F.col("name_a"), F.col("name_b")), 9).alias("similarity")),
         "most_similar_type": lambda s, d: _type_pairs(s, d).withColumn("s", F.round(similarity.similarity_column(F.col("name_a"), F.col("name_b")), 9)).groupBy("name_a").agg(F.max(F.struct(F.col("s"), -F.col("ord"), F.col("name_b"))).alias("m")).select("name_a", F.col("m.name_b").alias("match"), F.col("m.s").alias("score")),
         "match_scores": lambda s, d: table(s, d, "entity_inputs").select("input_id", match_score(F.col("name"), F.col("graph_name")).alias("score"), match_score(F.col("name"), F.lit(" an")).alias("score_an")).distinct(),
-        "schema_reconcile": lambda s, d: reconcile(live(current_vertices(table(s, d, "entities"))).select(F.col("label").alias("name")), s.createDataFrame([(t,) for t in TYPES], "name string")),
+        "schema_reconcile": lambda s, d: reconcile(live(memory_graph(s, d).vertices).select(F.col("label").alias("name")), s.createDataFrame([(t,) for t in TYPES], "name string")),
         "identifier_validation": lambda s, d: table(s, d, "entity_inputs").select("name").filter("name is not null").distinct().select("name", is_identifier(F.col("name")).alias("valid")),
         "property_bag_merge": _merged_bags,
         "json_property_extract": lambda s, d: table(s, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k")),
-        "mermaid_lines": lambda s, d: mermaid.node_lines(star_graph(s, d).vertices.filter(F.col("label").isin("Region", "Nation", "Customer", "Part"))),
+        "mermaid_lines": lambda s, d: mermaid.node_lines(star_graph(s, d).vertices),
+        "mermaid_links": lambda s, d: mermaid.link_lines(star_graph(s, d).edges),
         "agtype_parse": _agtype,
     }
 
@@ -115,7 +116,7 @@ def _merged_bags(spark, d):
 
 
 _BATCH = "SELECT DISTINCT input_id, name, entity_type, properties, confidence FROM entity_inputs"
-_STORED = f"{_MV.replace('(SELECT * FROM entities UNION ALL BY NAME SELECT * FROM core_entities)', 'entities')}, pv AS (SELECT {_ID.format('id')} AS id, arg_max(properties, ingested_at) AS properties FROM entities WHERE properties IS NOT NULL OR true GROUP BY 1)"
+_STORED = f"{_MV}, pv AS (SELECT id, bag AS properties FROM mv)"
 _UPSERT = f"""WITH {_STORED}, b AS ({_BATCH}), g AS (SELECT input_id, trim(name, ' '||chr(9)||chr(10)||chr(13)||chr(160)) AS name, entity_type AS label, properties, confidence FROM b WHERE name IS NOT NULL AND trim(name, ' '||chr(9)||chr(10)||chr(13)||chr(160)) != '' AND (confidence IS NULL OR confidence BETWEEN 0 AND 1)),
  f AS (SELECT label, name, arg_max(confidence, input_id) FILTER (confidence IS NOT NULL) AS conf FROM g GROUP BY ALL),
  old AS (SELECT label, name, min(id) AS id, arg_min(confidence, id) AS confidence FROM mv WHERE NOT deleted GROUP BY ALL),
@@ -167,7 +168,8 @@ def oracle_sql() -> dict[str, str]:
         "property_bag_merge": """WITH o AS (SELECT DISTINCT input_id, properties FROM entity_inputs), k AS (SELECT input_id, properties, unnest(json_keys(properties)) AS key FROM o WHERE properties IS NOT NULL)
             SELECT input_id, key, json_extract_string(properties, '$."'||key||'"') AS value FROM k WHERE key NOT IN ('team', 'checked') UNION ALL SELECT input_id, 'team', 'x' FROM o UNION ALL SELECT input_id, 'checked', '1' FROM o""",
         "json_property_extract": "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events",
-        "mermaid_lines": f"""WITH {_V}, s AS (SELECT id, label, CASE WHEN length(name) > 40 THEN left(name, 37)||'...' ELSE name END AS n FROM v WHERE label IN ('Region', 'Nation', 'Customer', 'Part'))
-            SELECT id, '  n_'||replace(id, '-', '_')||'['||CASE WHEN regexp_matches(n, '^[A-Za-z0-9 _-]+$') THEN n ELSE '"'||replace(n, '"', '#quot;')||'"' END||']' AS line FROM s""",
+        "mermaid_lines": f"""WITH {_V}, s AS (SELECT id, label, CASE WHEN length(name) > 40 THEN left(name, 37)||'...' ELSE name END AS n FROM v)
+            SELECT id, '  n_'||replace(id, '-', '_')||CASE WHEN label = 'Fact' THEN '>' ELSE '[' END||CASE WHEN regexp_matches(n, '["\\[\\](){{}}|<>/\\\\#&;]') THEN '"'||replace(n, '"', '#quot;')||'"' ELSE n END||']' AS line FROM s""",
+        "mermaid_links": f"WITH {_E} SELECT id, '  n_'||replace(start_id, '-', '_')||' -->|'||label||'| n_'||replace(end_id, '-', '_') AS line FROM e",
         "agtype_parse": "SELECT 'vertex' AS kind, n_nationkey::VARCHAR AS id, 'Nation' AS label, n_name AS name, n_regionkey::VARCHAR AS region FROM nation",
     }

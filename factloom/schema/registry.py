@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import math
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from factloom.config import Guardrails
-from factloom.functions.similarity import most_similar
-from factloom.model import GraphError, check_identifier
+from factloom.functions.similarity import most_similar, similarity_column
+from factloom.model import GraphError, check_identifier, is_identifier
 from factloom.schema.presets import EntityType, Preset
 
 
@@ -57,3 +60,11 @@ class Registry:
         self.check_addition(new)
         self.preset.entity_types.append(new)
         return len(self.types)
+
+    def judge(self, candidates: DataFrame) -> DataFrame:
+        """(name, verdict, nearest, percent) of distinct type names: invalid, exists, similar or ok, with the most similar type in force, of equal ones the first."""
+        known = F.array(*map(F.lit, self.types))
+        scored = F.transform(known, lambda t, k: F.struct(F.round(similarity_column(F.col("name"), t), 9).alias("s"), (-k).alias("k"), t.alias("t")))
+        near = candidates.select("name").filter("name is not null").distinct().withColumn("best", F.array_max(scored))
+        verdict = F.when(~is_identifier(F.col("name")), "invalid").when(F.col("name").isin(self.types), "exists").when(F.col("best.s") >= self.guardrails.similarity_threshold, "similar").otherwise("ok")
+        return near.select("name", verdict.alias("verdict"), F.col("best.t").alias("nearest"), F.floor(F.col("best.s") * 100 + 0.5).cast("int").alias("percent"))

@@ -93,6 +93,22 @@ def current_edges(rows: DataFrame) -> DataFrame:
     return ends.filter("start_id is not null and end_id is not null")
 
 
+def facts_graph(spark: SparkSession, d: str) -> Graph:
+    """The delivered facts as vertices, with their RELATES_TO and SUPERSEDED_BY edges. Of a fact's rows the last counts, of its links any that is filled."""
+    rows = table(spark, d, "facts").withColumn("fid", canonical_id(F.col("id"))).filter("fid is not null")
+    last = F.max(F.struct("ingested_at", "content", "source", "confidence", "stated_at", canonical_id(F.col("entity_id")).alias("entity_id")))
+    one = rows.groupBy("fid").agg(last.alias("r"), F.max(canonical_id(F.col("superseded_by"))).alias("later"))
+    quoted = lambda c: F.substr(F.to_json(F.struct(c.alias("x"))), F.lit(6), F.length(F.to_json(F.struct(c.alias("x")))) - 6)
+    bag = F.map_filter(F.create_map(F.lit("content"), F.when(F.col("r.content").isNotNull(), quoted(F.col("r.content"))), F.lit("source"), F.when(F.col("r.source").isNotNull(), quoted(F.col("r.source")))), lambda _, v: v.isNotNull())
+    vertices = one.select(
+        F.lit("Fact").alias("label"), F.col("fid").alias("id"), F.substring("r.content", 1, 100).alias("name"), bag.alias("properties"),
+        F.col("r.stated_at").alias("created_at"), F.col("r.confidence").alias("confidence"), F.lit(False).alias("deleted"),
+    )
+    none = F.create_map().cast("map<string,string>")
+    edge = lambda label, end: one.filter(F.col(end).isNotNull()).select(F.lit(label).alias("label"), F.concat_ws(":", F.lit(label), "fid").alias("id"), F.col("fid").alias("start_id"), F.col(end).alias("end_id"), none.alias("properties"), F.col("r.stated_at").alias("created_at"))
+    return Graph(vertices, edge("RELATES_TO", "r.entity_id").unionByName(edge("SUPERSEDED_BY", "later")))
+
+
 def memory_graph(spark: SparkSession, d: str) -> Graph:
     """The delivered entity and relationship tables as they stand."""
     entities = table(spark, d, "entities").unionByName(table(spark, d, "core_entities"))
