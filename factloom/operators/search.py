@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from factloom.functions.text import match_score, utf16_length
 from factloom.ids import strip
 from factloom.model import RESOLVE_LIMIT, SEARCH_LIMIT, GraphError, live
+from factloom.operators.contain import containment
+from factloom.runtime import broadcast_if_small
+
+
+#: So many queries at most are compared with every name.
+FEW_QUERIES = 32
 
 
 def _ordered(types: list[str] | None):
@@ -55,13 +61,25 @@ def search(vertices: DataFrame, query: str, types: list[str] | None = None, type
 def resolve_many(vertices: DataFrame, queries: list[str], types: list[str] | None = None) -> DataFrame:
     """(query, status, id, n_candidates) of each query string: resolved, ambiguous or not_found.
 
-    One hit resolves at any score; of several, the first if it matches fully and the second does not. Only the best
-    RESOLVE_LIMIT hits of a query are kept per task before anything is shuffled.
+    One hit resolves at any score; of several, the first if it matches fully and the second does not. Up to FEW_QUERIES are looked
+    for in one pass over the names, which leaves only hits; more meet the names by containment joins in both directions. Only the
+    best RESOLVE_LIMIT hits of a query are kept per task before anything is shuffled.
     """
     spark = vertices.sparkSession
-    given = spark.range(1).select(F.explode(F.array(*map(F.lit, dict.fromkeys(queries)))).alias("query"))
-    each = scan(vertices, types).select("id", "name", "label", F.explode(F.array(*map(F.lit, dict.fromkeys(queries)))).alias("query"))
-    scored = each.withColumn("score", match_score(F.col("name"), F.col("query"))).filter((F.col("score") > 0) & (F.length(strip(F.col("query"))) > 0))
+    given = spark.createDataFrame([(q,) for q in dict.fromkeys(queries)], "query string")
+    asked = given.withColumn("low_query", F.lower(strip(F.col("query")))).filter("low_query != ''")
+    rows = scan(vertices, types).select("id", "name", "label", F.lower("name").alias("low"))
+    if len(queries) <= FEW_QUERIES:
+        lows = F.array_distinct(F.transform(F.array(F.lit(""), *map(F.lit, queries)), lambda q: F.lower(strip(q))))
+        hits = F.filter(lows, lambda q: (q != "") & (F.col("low").contains(q) | q.contains(F.col("low"))))
+        met = rows.select("*", F.explode(hits).alias("low_query"))
+    else:
+        within = containment(asked.select("low_query"), rows.select("low")).select(F.col("needle").alias("low_query"), F.col("hay").alias("low"))
+        around = containment(rows.select("low"), asked.select("low_query")).select(F.col("hay").alias("low_query"), F.col("needle").alias("low"))
+        # an empty name is contained in every query
+        met = rows.join(within.unionByName(around).unionByName(asked.select("low_query", F.lit("").alias("low"))).distinct(), "low")
+    each = met.join(broadcast_if_small(asked, rows=len(queries)), "low_query")
+    scored = each.withColumn("score", match_score(F.col("name"), F.col("query"))).filter(F.col("score") > 0)
     w = Window.partitionBy("query").orderBy(F.desc("score"), utf16_length(F.col("name")), _ordered(types), "id")
     top = scored.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= RESOLVE_LIMIT)
     found = top.groupBy("query").agg(F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("rn") == 1, F.col("id"))).alias("first"), F.max(F.when(F.col("rn") == 1, F.col("score"))).alias("s1"), F.max(F.when(F.col("rn") == 2, F.col("score"))).alias("s2"))

@@ -17,16 +17,12 @@ RESOLVE = ["FRANCE", "united", "Customer#000000007", "part", "supplier#000000001
 ANCHOR, ORDER = "customer:0", "order:1"
 
 
-def _stored(spark, d):
-    return star_graph(spark, d).stored()
-
-
 def _memory(spark, d):
     return memory_graph(spark, d).stored("memory")
 
 
 def _context(spark, d):
-    g = _stored(spark, d)
+    g = star_graph(spark, d)
     c = traverse.Connections(g, ORDER, 2)
     ents = c.entities.select(F.lit("entity").alias("section"), "id", F.col("name").alias("text"))
     rels = c.relationships.select(F.lit("relationship").alias("section"), "id", F.col("label").alias("text"))
@@ -56,14 +52,14 @@ def queries() -> dict:
         "relationships_in": lambda s, d: neighbours.relationships(star_graph(s, d), "nation:3", "in", "LOCATED_IN", None).withColumn("properties", as_text(F.col("properties"))),
         "relationships_both": lambda s, d: neighbours.relationships(star_graph(s, d), ANCHOR, "both", limit=7).withColumn("properties", as_text(F.col("properties"))),
         "relationships_flat": lambda s, d: neighbours.with_names(memory_graph(s, d).edges, memory_graph(s, d).vertices).withColumn("properties", as_text(F.col("properties"))),
-        "khop_filtered_types": lambda s, d: traverse.hops(_stored(s, d), [ANCHOR], 3, ["PLACED", "LOCATED_IN"]),
-        "khop_edges_d2": lambda s, d: traverse.path_edges(_stored(s, d), [ORDER], 2).select("id", "label"),
-        "khop_live_component": lambda s, d: traverse.Connections(_stored(s, d), ORDER, 2).entities.select("id", "label", "name"),
-        "khop_live_edges": lambda s, d: traverse.Connections(_stored(s, d), ORDER, 2).relationships.select("id"),
+        "khop_filtered_types": lambda s, d: traverse.hops(star_graph(s, d), [ANCHOR], 3, ["PLACED", "LOCATED_IN"]),
+        "khop_edges_d2": lambda s, d: traverse.path_edges(star_graph(s, d), [ORDER], 2).select("id", "label"),
+        "khop_live_component": lambda s, d: traverse.Connections(star_graph(s, d), ORDER, 2).entities.select("id", "label", "name"),
+        "khop_live_edges": lambda s, d: traverse.Connections(star_graph(s, d), ORDER, 2).relationships.select("id"),
         "memory_khop": lambda s, d: traverse.hops(_memory(s, d), [table(s, d, "core_entities").agg(F.min("id")).first()[0]], 2),
         "context": _context,
-        "connections_envelope": lambda s, d: traverse.Connections(_stored(s, d), ORDER, 2).envelope(25),
-        "timeline_topn": lambda s, d: traverse.timeline(_stored(s, d), ANCHOR, 2, 10).select("id", "label", "timestamp"),
+        "connections_envelope": lambda s, d: traverse.Connections(star_graph(s, d), ORDER, 2).envelope(25),
+        "timeline_topn": lambda s, d: traverse.timeline(star_graph(s, d), ANCHOR, 2, 10).select("id", "label", "timestamp"),
         "context_facts": lambda s, d: facts.facts_of(star_graph(s, d), ANCHOR),
         "active_facts": lambda s, d: facts.active_facts(star_graph(s, d)),
         "contradiction_counts": lambda s, d: facts.active_counts(star_graph(s, d)),
@@ -83,7 +79,7 @@ def queries() -> dict:
         "export_lines": lambda s, d: _lines(export.lines(memory_graph(s, d)).unionByName(export.lines(facts_graph(s, d), ["facts"]))),
     }
     for k in (1, 2, 3):
-        q[f"khop_nodes_d{k}"] = lambda s, d, k=k: traverse.hops(_stored(s, d), [ORDER], k)
+        q[f"khop_nodes_d{k}"] = lambda s, d, k=k: traverse.hops(star_graph(s, d), [ORDER], k)
     return q
 
 

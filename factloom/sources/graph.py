@@ -22,8 +22,11 @@ class Graph:
     edges: DataFrame
 
     def stored(self, label: str = "graph") -> Graph:
-        """The edges written once, for plans that read them in every round; vertices are read once or twice, where they are."""
-        return Graph(self.vertices, Scratch(self.vertices.sparkSession, label).write(self.edges, "edges"))
+        """The edges written once, for plans that read all of them in several rounds; later calls give the same."""
+        if getattr(self, "_stored", None) is None:
+            self._stored = Graph(self.vertices, Scratch(self.vertices.sparkSession, label).write(self.edges, "edges"))
+            self._stored._stored = self._stored
+        return self._stored
 
     def sql(self, text: str, args: dict | None = None) -> DataFrame:
         """An ad-hoc query over {vertices} and {edges}; values are passed as named parameters (:name), never as text."""

@@ -138,3 +138,27 @@ def test_ad_hoc_queries(spark):
     g = graph(spark, 3, [(0, 1), (1, 2)])
     got = g.sql("SELECT v.name, count(*) AS n FROM {edges} e JOIN {vertices} v ON v.id = e.end_id WHERE v.name = :name GROUP BY 1", {"name": "name 2"})
     assert [tuple(r) for r in got.collect()] == [("name 2", 1)] and g.sql("SELECT * FROM {vertices} WHERE name = :n", {"n": "' OR '1'='1"}).count() == 0
+
+
+def test_resolving_many_and_few_queries_is_the_same(spark, monkeypatch):
+    names = ["Ann", "Anna", "Ann Lee", "", None, "lee", "Bo", "boann", "é", " x "]
+    v = spark.createDataFrame([("P", f"i{k}", n, False) for k, n in enumerate(names)], "label string, id string, name string, deleted boolean")
+    asked = ["ann", " ANN lee ", "o", "", " ", "zz", "é", "Ann", "a long text with lee inside"]
+    few = sorted(map(tuple, search.resolve_many(v, asked, ["P"]).collect()))
+    monkeypatch.setattr(search, "FEW_QUERIES", 0)
+    assert few == sorted(map(tuple, search.resolve_many(v, asked, ["P"]).collect())) and len(few) == len(asked)
+
+
+def test_large_frontiers_give_the_same(spark, monkeypatch):
+    r = random.Random(8)
+    edges = spark.createDataFrame([("K", f"e{k}", f"v{r.randrange(30)}", f"v{r.randrange(30)}", {}, None) for k in range(40)], "label string, id string, start_id string, end_id string, properties map<string,string>, created_at timestamp_ntz")
+    vertices = spark.createDataFrame([("P", f"v{k}", f"n{k}", {}, None, k % 7 == 3) for k in range(30)], "label string, id string, name string, properties map<string,string>, created_at timestamp_ntz, deleted boolean")
+
+    def results():
+        g = Graph(vertices, edges)
+        c = traverse.Connections(g, "v1", 3)
+        return [sorted(map(tuple, df.collect())) for df in (traverse.hops(g, ["v1"], 3), traverse.path_edges(g, ["v1"], 3).select("id"), c.entities.select("id", "dist"), c.envelope(5))], traverse.returns(g, "v1", 4)
+
+    one = results()
+    monkeypatch.setattr(traverse, "LITERALS", 0)
+    assert one == results() and len(one[0][0]) > 3
