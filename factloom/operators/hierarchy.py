@@ -19,6 +19,8 @@ each. Step 4 finds the same nodes without those rounds, so only the first peelin
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, Window
@@ -235,24 +237,36 @@ class Hierarchy:
             zero("depth"), zero("entry"), zero("exit"), (F.coalesce("exit", F.lit(0)) - F.coalesce("entry", F.lit(0))).cast("long").alias("n_descendants"), F.coalesce("in_cycle", F.lit(False)).alias("in_cycle"),
         )
 
-    def paths(self) -> DataFrame:
-        """(fact_id, path): the ids from the node to its root, both included. Nodes on cut circles follow the links up to the smallest id.
+    def _chains(self) -> DataFrame:
+        """(node, up): the numbers of the nodes from a linked node's parent to its root.
 
-        Segments double each round, so depth d takes log2(d) rounds; a comparison of intervals would meet all pairs of a tree.
+        Segments double each round, so depth d takes log2(d) rounds. Finished chains are set aside: later rounds only read them as
+        what others go on with, and no round after the first looks a root up, however many nodes hang on it.
         """
         s = self.scratch
-        ids = self.numbered.select(F.col("num"), "id")
-        step = s.write(self.tree_links.select(F.col("child").alias("node"), F.col("parent").alias("at"), F.array("parent").alias("up")), "steps")
-        done, seen = [], 1
+        step, done = s.write(self.tree_links.select(F.col("child").alias("node"), F.col("parent").alias("at"), F.array("parent").alias("up")), "steps"), []
+        seen = 1
         while seen:
-            obs = Observation()
-            more = step.select(F.col("node").alias("at"), F.col("at").alias("further"), F.col("up").alias("rest"))
+            known = reduce(DataFrame.unionByName, [step, *done])
+            more = known.select(F.col("node").alias("at"), F.col("at").alias("further"), F.col("up").alias("rest"))
             met = step.join(more, "at", "left").select("node", F.coalesce("further", "at").alias("at"), F.when(F.col("rest").isNull(), F.col("up")).otherwise(F.concat("up", "rest")).alias("up"), F.col("rest").isNull().alias("ended"))
-            new = s.write(met.observe(obs, F.count_if(~F.col("ended")).alias("n")), "paths")
+            obs = Observation()
+            new = s.write(met.observe(obs, F.count_if(~F.col("ended")).alias("n")), "paths", by=["ended"])
+            seen = obs.get["n"] or 0
             s.drop(step)
-            seen, step = obs.get["n"] or 0, new.select("node", "at", "up")
-            step.scratch_path = new.scratch_path
-        long = step.select("node", F.posexplode(F.concat(F.array("node"), "up")).alias("k", "num")).join(ids, "num")
+            done.append(new.filter("ended").select("node", "at", "up"))
+            step = new.filter("not ended").select("node", "at", "up")
+        return reduce(DataFrame.unionByName, done)
+
+    def paths(self) -> DataFrame:
+        """(fact_id, path): the ids from the node to its root, both included. Nodes on cut circles follow the links up to the smallest id."""
+        ids = self.numbered.select(F.col("num"), "id")
+        long = self._chains().select("node", F.posexplode(F.concat(F.array("node"), "up")).alias("k", "num")).join(ids, "num")
         alone = self.numbered.join(self.tree_links.select(F.col("child").alias("num")), "num", "left_anti").select(unpack_id(F.col("id")).alias("fact_id"), F.array(unpack_id(F.col("id"))).alias("path"))
         of = long.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("k", "id"))).alias("p")).select(F.transform("p", lambda x: unpack_id(x["id"])).alias("path"))
         return of.select(F.col("path")[0].alias("fact_id"), "path").unionByName(alone)
+
+    def descendants(self) -> DataFrame:
+        """(fact_id, descendant_id): every node with all nodes below it, as many rows as there are; read the other way the ancestors of each node."""
+        pairs = self._chains().select(F.explode("up").alias("above"), "node")
+        return _with_ids(pairs, self.numbered, ("above", "fact_id"), ("node", "descendant_id")).select("fact_id", "descendant_id")
